@@ -297,16 +297,13 @@ def calendar_windows(edges: DataFrame, days: int = 7, slide: int = 1) -> DataFra
     as the predecessor that change rules need.
     """
     daily = bin_daily(edges)
-    day = F.col("bin")
-    start = F.greatest(day, F.lit(days - 1))
-    end = F.least(day + (days - 1), F.col("total_days") - 2)
-    first = F.ceil((start - (days - 1)) / F.lit(slide)) * slide + (days - 1)
-    # the predecessor window exists even when no later window does
-    end = F.when((F.col("total_days") <= days) & (day < days), F.lit(days - 1)).otherwise(end)
-    return (
-        daily.withColumn("_from", first.cast("int"))
-        .withColumn("_to", end.cast("int"))
-        .filter(F.col("_from") <= F.col("_to"))
-        .withColumn("day", F.explode(F.sequence("_from", "_to", F.lit(slide))))
-        .drop("_from", "_to", "bin", "total_days")
+    day, every = F.col("bin"), F.lit(slide)
+    later = F.greatest(day, F.lit(days)) - days
+    first = (F.ceil(later / every) * every + days).cast("int")
+    last = F.least(day + (days - 1), F.col("total_days") - 2)
+    none = F.array().cast("array<int>")
+    closing = F.concat(
+        F.when(day < days, F.array(F.lit(days - 1))).otherwise(none),
+        F.when(first <= last, F.sequence(first, last, every)).otherwise(none),
     )
+    return daily.withColumn("day", F.explode(closing)).drop("bin", "total_days")
