@@ -219,7 +219,7 @@ def window_sequence(
         .withColumn("_lower", lower)
         .withColumn("_upper", upper)
         .filter(F.col("_lower") <= F.col("_upper"))
-        .withColumn("window_id", F.explode(F.sequence("_lower", "_upper")).cast("int"))
+        .withColumn("window_id", F.explode(F.sequence(F.col("_lower").cast("int"), F.col("_upper").cast("int"))))
         .drop("_last", "_lower", "_upper")
     )
 

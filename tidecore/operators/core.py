@@ -46,11 +46,10 @@ class NeighbourTable:
         pairs: DataFrame,
         keys: Sequence[str] = (),
         hub_rows: int = HUB_ROWS,
-        carry: Sequence[str] = (),
     ):
         self.keys = list(keys)
         self.spark = pairs.sparkSession
-        self._raw = symmetrize(pairs, [*self.keys, *carry]).persist()
+        self._raw = symmetrize(pairs, self.keys).persist()
         degree = self._raw.groupBy(*self.keys, "u").agg(F.count(F.lit(1)).alias("n"))
         self.degree, seen = materialise(
             degree.select(*self.keys, "u", F.col("n").cast("int").alias("core"), "n"),
@@ -183,15 +182,14 @@ def lower_to_core(
     frontier_min_rows: int = FRONTIER_MIN_ROWS,
     max_rounds: int = ROUND_LIMIT,
     trace: list | None = None,
-    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Lower ``core`` (an upper bound per vertex) to the exact core numbers.
 
     Without ``dirty`` all vertices are re-evaluated each round; with it, only
     those vertices and then whoever a change reaches. ``trace`` collects
-    ``(kind, size)`` per round; ``edges`` may narrow the stored edges.
+    ``(kind, size)`` per round.
     """
-    edges = table.place(partitions) if edges is None else edges
+    edges = table.place(partitions)
     ids = [*table.keys, "u"]
     written = None  # the caller's table is not ours to delete
     for _ in range(max_rounds):

@@ -167,18 +167,18 @@ def core_levels(core: DataFrame, block: int = 4096) -> DataFrame:
     )
 
 
-def shrink_to_support(candidates: DataFrame, links: DataFrame) -> DataFrame:
+def shrink_to_support(candidates: DataFrame, links: DataFrame, size: int) -> DataFrame:
     """Largest subset whose members keep ``support + linked members > core``.
 
-    ``candidates`` is ``(u, core, support)``, where ``support`` counts the
-    neighbours that hold in any case; ``links`` holds both directions of the
-    edges between candidates. Each round drops members that lost too much.
+    ``candidates`` is ``(u, core, support)`` with ``size`` rows, where
+    ``support`` counts the neighbours that hold in any case; ``links`` holds
+    both directions of the edges between candidates. Each round drops members
+    that lost too much.
     """
-    alive, seen = materialise(candidates, n=F.count(F.lit(1)))
-    for _ in range(ROUND_LIMIT):
-        if seen["n"] == 0:
+    alive = candidates
+    for i in range(ROUND_LIMIT):
+        if size == 0:
             return alive
-        size = seen["n"]
         held = (
             links.join(alive.select(F.col("u").alias("v")), "v", "left_semi")
             .groupBy("u")
@@ -190,18 +190,20 @@ def shrink_to_support(candidates: DataFrame, links: DataFrame) -> DataFrame:
             .select("u", "core", "support"),
             n=F.count(F.lit(1)),
         )
-        discard(alive)
+        if i:
+            discard(alive)
         alive = left
         if seen["n"] == size:
             return alive
+        size = seen["n"]
     raise NotConverged("candidate set still shrank")
 
 
-def promotable(edges: DataFrame, core: DataFrame) -> tuple[DataFrame, int]:
-    """Vertices that can rise together by one, and how many; ``edges`` holds both directions.
+def promotable(edges: DataFrame, core: DataFrame) -> DataFrame:
+    """``promotable_set`` from both directions of the edges.
 
-    The greatest set Q in which every v keeps more than core(v) neighbours that
-    are higher, or equal and in Q.
+    First the vertices with more than core neighbours of their level or higher;
+    only the edges among those of equal core number take part in the rounds.
     """
     seen_from = core.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
     counts = edges.join(seen_from, "v").groupBy("u", "n_core").agg(F.count(F.lit(1)).alias("n"))
@@ -214,8 +216,6 @@ def promotable(edges: DataFrame, core: DataFrame) -> tuple[DataFrame, int]:
         .select("u", "core", "support"),
         n=F.count(F.lit(1)),
     )
-    if seen["n"] == 0:
-        return able.select("u", "core"), 0
     near = able.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
     links, _ = materialise(
         edges.join(near, "v")
@@ -223,17 +223,20 @@ def promotable(edges: DataFrame, core: DataFrame) -> tuple[DataFrame, int]:
         .filter(EQUAL)
         .select("u", "v")
     )
-    rising = shrink_to_support(able, links)
-    discard(able, links)
-    saved = rising.select("u", "core")
-    return saved, saved.count()
+    rising = shrink_to_support(able, links, seen["n"])
+    discard(links)
+    return rising.select("u", "core")
 
 
 def promotable_set(pairs: DataFrame, core: DataFrame) -> DataFrame:
-    """Vertices whose core number is too low by the neighbours they have."""
+    """Vertices that can rise together by one.
+
+    The greatest set Q in which every v keeps more than core(v) neighbours that
+    are higher, or equal and in Q; empty when ``core`` is exact.
+    """
     both = symmetrize(pairs).persist()
     try:
         with loop_settings(pairs.sparkSession, both.count()):
-            return promotable(both, core)[0]
+            return promotable(both, core)
     finally:
         both.unpersist()

@@ -1,10 +1,11 @@
 """Keeping core numbers up to date from the edges that leave and enter.
 
-Removals: the old values are an upper bound, so they are lowered again, only
-around the removed edges. Insertions: the old values are a lower bound, so the
-largest set that can rise together rises by one until there is none. Both
-results are exact. One placed edge table serves both: edges that enter carry a
-flag and are left out while the removals settle.
+Core numbers after a batch are at most the old ones plus the largest number of
+new edges at one vertex (take those edges away from a k-core and every member
+still has k minus that many neighbours), and never more than the degree. That
+upper bound is lowered to the exact values by the same rounds that compute core
+numbers from scratch, starting much closer to the answer. A batch without
+insertions is re-evaluated around the removed edges only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecore.operators.bins import slide_state
-from tidecore.operators.core import NeighbourTable, core_numbers, lower_to_core
+from tidecore.operators.core import (
+    FRONTIER_MIN_ROWS,
+    FRONTIER_SHARE,
+    NeighbourTable,
+    core_numbers,
+    lower_to_core,
+)
 from tidecore.operators.graph import symmetrize
 from tidecore.operators.index import (
     EQUAL,
@@ -23,7 +30,6 @@ from tidecore.operators.index import (
     index_delta,
     neighbour_index,
     pcd_index,
-    promotable,
     s_index,
     shrink_to_support,
 )
@@ -40,57 +46,51 @@ def endpoints(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("u")).distinct()
 
 
-def update_core(state: DataFrame, core: DataFrame, trace: list | None = None) -> DataFrame:
+def update_core(
+    state: DataFrame,
+    core: DataFrame,
+    frontier_share: float = FRONTIER_SHARE,
+    frontier_min_rows: int = FRONTIER_MIN_ROWS,
+    trace: list | None = None,
+) -> DataFrame:
     """Core numbers after a slide, from pairs with flags ``before`` and ``after``."""
     spark = state.sparkSession
-    state, sizes = materialise(
-        state,
-        left=F.count_if(F.col("before") & ~F.col("after")),
-        entered=F.count_if(F.col("after") & ~F.col("before")),
-    )
-    now = state.filter("after").select("u", "v", (~F.col("before")).alias("entered"))
-    table = NeighbourTable(now, carry=["entered"])
+    state, _ = materialise(state)
+    leaving = state.filter(F.col("before") & ~F.col("after"))
+    entering = state.filter(F.col("after") & ~F.col("before"))
+    table = NeighbourTable(state.filter("after").select("u", "v"))
+    bound = dirty = None
     try:
         with loop_settings(spark, table.rows) as partitions:
-            edges = table.place(partitions)
-            kept = edges.filter(~F.col("entered"))
-            if sizes["left"]:
-                leaving = state.filter(F.col("before") & ~F.col("after"))
-                dirty, _ = materialise(endpoints(leaving).join(core, "u", "left_semi"))
-                core = lower_to_core(table, core, partitions, dirty, edges=kept, trace=trace)
-                discard(dirty)
-            if sizes["entered"]:
-                entering = state.filter(F.col("after") & ~F.col("before"))
-                known = core.filter(F.col("core") > 0)
-                fresh = endpoints(entering).join(known, "u", "left_anti")
-                core, _ = materialise(
-                    known.select("u", "core").union(
-                        fresh.select("u", F.lit(1).cast("int").alias("core"))
-                    )
-                )
-                core = raise_core(edges.drop("entered"), core, trace)
-            return core.filter(F.col("core") > 0).select("u", "core")
+            most = (
+                symmetrize(entering).groupBy("u").agg(F.count(F.lit(1)).alias("_n"))
+                .agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
+            )
+            known = core.select("u", F.col("core").alias("_old"))
+            highest = (F.coalesce("_old", F.lit(0)) + F.col("_most")).cast("int")
+            bound, seen = materialise(
+                table.degree.join(known, "u", "left")
+                .crossJoin(F.broadcast(most))
+                .select("u", F.least("core", highest).alias("core"), "_most"),
+                total=F.coalesce(F.sum("core"), F.lit(0)),
+                most=F.coalesce(F.max("_most"), F.lit(0)),
+            )
+            if seen["most"] == 0 and table.rows >= frontier_min_rows:
+                dirty, _ = materialise(endpoints(leaving).join(table.degree, "u", "left_semi"))
+            return lower_to_core(
+                table,
+                bound.select("u", "core"),
+                partitions,
+                dirty,
+                total=seen["total"],
+                frontier_share=frontier_share,
+                frontier_min_rows=frontier_min_rows,
+                trace=trace,
+            ).select("u", "core")
     finally:
         table.close()
-
-
-def raise_core(edges: DataFrame, core: DataFrame, trace: list | None = None) -> DataFrame:
-    """Raise ``core`` (a lower bound, table of ours) to the exact core numbers."""
-    for _ in range(ROUND_LIMIT):
-        rising, size = promotable(edges, core)
-        if trace is not None:
-            trace.append(("rise", size))
-        if size == 0:
-            return core
-        lifted = rising.select("u", F.lit(1).alias("_up"))
-        following, _ = materialise(
-            core.join(lifted, "u", "left").select(
-                "u", (F.col("core") + F.coalesce("_up", F.lit(0))).cast("int").alias("core")
-            )
-        )
-        discard(core)
-        core = following
-    raise NotConverged("core numbers still rose")
+        # a result of local rounds without any change still reads the bound
+        discard(state, dirty)
 
 
 def _flagged(pairs: DataFrame, was: bool, out: bool, into: bool) -> DataFrame:
@@ -108,7 +108,7 @@ def core_after_slide(
     core: DataFrame,
     removed: DataFrame,
     added: DataFrame,
-    trace: list | None = None,
+    **options,
 ) -> DataFrame:
     """Core numbers of ``(pairs - removed) + added``, from those of ``pairs``.
 
@@ -125,15 +125,19 @@ def core_after_slide(
         )
         .filter(F.col("before") | F.col("after"))
     )
-    return update_core(state, core, trace)
+    return update_core(state, core, **options)
 
 
-def core_after_removals(pairs: DataFrame, core: DataFrame, removed: DataFrame) -> DataFrame:
-    return core_after_slide(pairs, core, removed, removed.limit(0))
+def core_after_removals(
+    pairs: DataFrame, core: DataFrame, removed: DataFrame, **options
+) -> DataFrame:
+    return core_after_slide(pairs, core, removed, removed.limit(0), **options)
 
 
-def core_after_insertions(pairs: DataFrame, core: DataFrame, added: DataFrame) -> DataFrame:
-    return core_after_slide(pairs, core, added.limit(0), added)
+def core_after_insertions(
+    pairs: DataFrame, core: DataFrame, added: DataFrame, **options
+) -> DataFrame:
+    return core_after_slide(pairs, core, added.limit(0), added, **options)
 
 
 def slide_counts(state: DataFrame) -> DataFrame:
@@ -324,8 +328,10 @@ def demotion_cascade(pairs: DataFrame, core: DataFrame, members: DataFrame) -> D
         support, links = _level_support(pairs, core, members)
         links, _ = materialise(links)
         # keep when support + held >= core, that is > core - 1
-        bound = support.select("u", (F.col("core") - 1).alias("core"), "support")
-        staying = shrink_to_support(bound, links)
+        bound, seen = materialise(
+            support.select("u", (F.col("core") - 1).alias("core"), "support"), n=F.count(F.lit(1))
+        )
+        staying = shrink_to_support(bound, links, seen["n"])
         fallen, _ = materialise(
             core.join(members.select("u").distinct(), "u", "left_semi").join(
                 staying, "u", "left_anti"
@@ -341,7 +347,8 @@ def promotion_eviction(pairs: DataFrame, core: DataFrame, candidates: DataFrame)
     with loop_settings(pairs.sparkSession, pairs.count()):
         support = neighbour_index(pairs, core, ["core"], support=HIGHER)
         links, _ = materialise(equal_core_links(pairs, core.join(inside, "u", "left_semi")))
-        rising = shrink_to_support(support.join(inside, "u", "left_semi"), links)
+        start, seen = materialise(support.join(inside, "u", "left_semi"), n=F.count(F.lit(1)))
+        rising = shrink_to_support(start, links, seen["n"])
         discard(links)
         return rising.select("u", "core")
 
