@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("graph_checks", "bin_checks", "core_checks", "maintain_checks", "profile_checks")
+AREAS = ("graph_checks", "bin_checks", "core_checks", "maintain_checks", "profile_checks", "stream_checks")
 
 
 def _base():

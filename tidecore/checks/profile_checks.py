@@ -46,7 +46,17 @@ def _(spark, sf):
     return spark.read.schema(profile.schema).csv(path, header=True)
 
 
-@check("profile_report_rows")
+def _report(name: str, kind: str) -> str:
+    return f"""SELECT '{name}' AS dataset, format('{{:,}}', num_nodes) AS nodes, format('{{:,}}', num_edges) AS edges,
+  CASE WHEN time_span_years >= 1 THEN printf('%.1f', time_span_years) || 'y' ELSE time_span_days || 'd' END AS time_span,
+  CAST(max_degree AS VARCHAR) AS max_degree, printf('%.2e', density) AS density, '{kind}' AS type FROM prof"""
+
+
+@check(
+    "profile_report_rows",
+    f"""SELECT * FROM ({query(CP, RAW, PROFILE, body=_report("orders", "Unknown"))})
+UNION ALL SELECT * FROM ({query(EV, RAW, PROFILE, body=_report("sx-superuser", "Q&A"))})""",
+)
 def _(spark, sf):
     cp = P.dataset_profile(customer_part_edges(spark, sf)).withColumn("dataset", F.lit("orders"))
     ev = P.dataset_profile(event_edges(spark, sf)).withColumn("dataset", F.lit("sx-superuser"))
@@ -111,6 +121,22 @@ def _(spark, sf):
     return P.edges_per_hour(event_edges(spark, sf))
 
 
+@check(
+    "activity_series",
+    query(
+        EV,
+        BOUNDS,
+        HOURS,
+        "per_ts AS (SELECT ts, count(*) AS edges FROM edges GROUP BY ts)",
+        "per_hour AS (SELECT hour AS ts, count(src) AS edges FROM hours LEFT JOIN edges ON ts - ts % 3600 = hour GROUP BY hour)",
+        body="""SELECT ts, edges FROM per_hour WHERE (SELECT count(*) FROM per_ts) > 1000
+UNION ALL SELECT ts, edges FROM per_ts WHERE (SELECT count(*) FROM per_ts) <= 1000""",
+    ),
+)
+def _(spark, sf):
+    return P.activity_series(event_edges(spark, sf))
+
+
 @check(
     "top_active_nodes",
     query(
@@ -267,9 +293,9 @@ def _(spark, sf):
 SPLIT = (
     EV,
     BOUNDS,
-    "cut AS (SELECT lo + CAST(floor((hi - lo) * 0.85::DOUBLE) AS BIGINT) AS at FROM bounds)",
-    pairs_sql("train", "edges, cut", "ts <= at"),
-    pairs_sql("test", "edges, cut", "ts > at"),
+    "cut AS (SELECT lo + CAST(floor((hi - lo) * 0.85::DOUBLE) AS BIGINT) AS cut_at FROM bounds)",
+    pairs_sql("train", "edges, cut", "ts <= cut_at"),
+    pairs_sql("test", "edges, cut", "ts > cut_at"),
 )
 
 
