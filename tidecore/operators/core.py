@@ -29,6 +29,9 @@ HUB_ROWS = 2_000_000
 # less than this share of the vertices (and the graph is worth the extra joins).
 FRONTIER_SHARE = 0.05
 FRONTIER_MIN_ROWS = 20_000_000
+# Leave settled vertices (core 1) behind once at most this share is still above 1.
+PRUNE_SHARE = 0.5
+PRUNE_MIN_ROWS = 1_000_000
 # Hub tables up to this many rows are sent to every task; larger ones are joined by key.
 BROADCAST_ROWS = 100_000
 
@@ -102,6 +105,22 @@ class NeighbourTable:
             .drop("_slices")
         )
 
+    def restrict(self, active: DataFrame, vertices: int, partitions: int) -> NeighbourTable:
+        """The part of this table between ``active`` vertices."""
+        part = object.__new__(NeighbourTable)
+        part.__dict__.update(self.__dict__)
+        part.vertices = vertices
+        members = active.select(*self.keys, "u")
+        part._placed = (
+            self.place(partitions)
+            .join(self.send(members), self.on, "left_semi")
+            .join(members, [*self.keys, "u"], "left_semi")
+            .repartition(partitions, *self.on)
+            .sortWithinPartitions(*self.on)
+            .persist()
+        )
+        return part
+
     def close(self) -> None:
         """Free the stored edges; ``degree`` stays readable for its last reader."""
         self._raw.unpersist()
@@ -124,14 +143,22 @@ def h_index(counts: DataFrame, ids: Sequence[str], value: str = "core") -> DataF
     )
 
 
-def _full_round(table: NeighbourTable, edges: DataFrame, core: DataFrame) -> DataFrame:
+def _full_round(
+    table: NeighbourTable, edges: DataFrame, core: DataFrame, clip: bool
+) -> DataFrame:
+    """The h-index everywhere. ``clip`` keeps values from rising, which they
+    cannot do when they started as degrees."""
     ids = [*table.keys, "u"]
     counts = (
         edges.join(table.send(core), table.on)
         .groupBy(*ids, "core")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return h_index(counts, ids)
+    lowered = h_index(counts, ids)
+    if not clip:
+        return lowered
+    own = core.withColumnRenamed("core", "_own")
+    return lowered.join(own, ids).select(*ids, F.least("core", "_own").alias("core"))
 
 
 def _local_round(
@@ -182,12 +209,16 @@ def lower_to_core(
     frontier_min_rows: int = FRONTIER_MIN_ROWS,
     max_rounds: int = ROUND_LIMIT,
     trace: list | None = None,
+    clip: bool = True,
+    prune_min_rows: int = PRUNE_MIN_ROWS,
 ) -> DataFrame:
     """Lower ``core`` (an upper bound per vertex) to the exact core numbers.
 
     Without ``dirty`` all vertices are re-evaluated each round; with it, only
     those vertices and then whoever a change reaches. ``trace`` collects
-    ``(kind, size)`` per round.
+    ``(kind, size)`` per round. Vertices at 1 are final (everyone here has an
+    edge) and hold nobody above 1; once they are the majority the rounds go on
+    among the others only. ``prune_min_rows=None`` turns that off.
     """
     edges = table.place(partitions)
     ids = [*table.keys, "u"]
@@ -195,7 +226,10 @@ def lower_to_core(
     for _ in range(max_rounds):
         if dirty is None:
             lowered, seen = materialise(
-                _full_round(table, edges, core), total=F.coalesce(F.sum("core"), F.lit(0))
+                _full_round(table, edges, core, clip),
+                total=F.coalesce(F.sum("core"), F.lit(0)),
+                above=F.count_if(F.col("core") > 1),
+                above_total=F.coalesce(F.sum(F.when(F.col("core") > 1, F.col("core"))), F.lit(0)),
             )
             fallen = None if total is None else total - seen["total"]
             if trace is not None:
@@ -203,6 +237,16 @@ def lower_to_core(
             if fallen == 0:
                 discard(written)
                 return lowered
+            if (
+                prune_min_rows is not None
+                and table.rows >= prune_min_rows
+                and seen["above"] <= PRUNE_SHARE * table.vertices
+            ):
+                discard(written)
+                return _among_active(
+                    table, lowered, partitions, seen, frontier_share, frontier_min_rows,
+                    max_rounds, trace, clip,
+                )
             # every vertex that changed fell by at least one
             few = (
                 fallen is not None
@@ -235,6 +279,40 @@ def lower_to_core(
     raise NotConverged(f"core numbers still changed after {max_rounds} rounds")
 
 
+def _among_active(
+    table, lowered, partitions, seen, frontier_share, frontier_min_rows, max_rounds, trace, clip
+) -> DataFrame:
+    """Finish among the vertices above 1; all others are 1."""
+    ids = [*table.keys, "u"]
+    active = lowered.filter(F.col("core") > 1)
+    part = table.restrict(active, seen["above"], partitions)
+    if trace is not None:
+        trace.append(("prune", seen["above"]))
+    try:
+        inner = lower_to_core(
+            part,
+            active,
+            partitions,
+            total=seen["above_total"],
+            frontier_share=frontier_share,
+            frontier_min_rows=frontier_min_rows,
+            max_rounds=max_rounds,
+            trace=trace,
+            clip=clip,
+            prune_min_rows=None,
+        )
+    finally:
+        part._placed.unpersist()
+    found = inner.withColumnRenamed("core", "_inner")
+    whole, _ = materialise(
+        lowered.join(found, ids, "left").select(
+            *ids, F.coalesce("_inner", F.lit(1)).cast("int").alias("core")
+        )
+    )
+    discard(lowered, inner)
+    return whole
+
+
 def core_numbers(
     pairs: DataFrame,
     keys: Sequence[str] = (),
@@ -243,6 +321,7 @@ def core_numbers(
     frontier_min_rows: int = FRONTIER_MIN_ROWS,
     max_rounds: int = ROUND_LIMIT,
     trace: list | None = None,
+    prune_min_rows: int | None = PRUNE_MIN_ROWS,
 ) -> DataFrame:
     """Exact core number of every vertex: ``(keys..., u, core)``."""
     table = NeighbourTable(pairs, keys, hub_rows)
@@ -257,6 +336,8 @@ def core_numbers(
                 frontier_min_rows=frontier_min_rows,
                 max_rounds=max_rounds,
                 trace=trace,
+                clip=False,
+                prune_min_rows=prune_min_rows,
             )
     finally:
         table.close()
