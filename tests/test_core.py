@@ -23,7 +23,7 @@ def test_hand_graphs_in_one_table(spark):
     assert got == {(n, u): c for n, (_, core) in HAND.items() for u, c in core.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_random_graph_full_local_and_sliced(spark, seed):
     rng = random.Random(seed)
     pairs = random_pairs(rng, 60, 150) + [(100, i) for i in range(60)]

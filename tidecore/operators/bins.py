@@ -53,7 +53,7 @@ def bin_timestamp_closed(edges: DataFrame, bins: int) -> DataFrame:
     share = (F.col("ts") - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * F.lit(bins)
     return (
         _with_range(edges)
-        .withColumn("bin", F.coalesce(_clamped(share, bins), F.lit(0)))
+        .withColumn("bin", _clamped(F.coalesce(share, F.lit(0.0)), bins))
         .drop("_lo", "_hi")
     )
 
@@ -73,9 +73,10 @@ def bin_equal_count(edges: DataFrame, bins: int) -> DataFrame:
 def bin_sorted_boundaries(edges: DataFrame, bins: int) -> DataFrame:
     """Bin ``b`` holds ``ts < trunc(min + (b + 1) * width)``.
 
-    The guess from the division is at most one bin off, so it is compared with
-    its two neighbours instead of joining a table of boundaries. Timestamps at
-    or beyond the last boundary (rounding) stay in the last bin.
+    For whole seconds that is the first b with ``min + (b + 1) * width >= ts + 1``.
+    Rounding may move the quotient by one bin, so it is compared with its two
+    neighbours instead of joining a table of boundaries. Timestamps beyond the
+    last boundary (rounding) stay in the last bin.
     """
     width = (F.col("_hi") - F.col("_lo") + 1).cast("double") / F.lit(bins)
 
@@ -90,7 +91,7 @@ def bin_sorted_boundaries(edges: DataFrame, bins: int) -> DataFrame:
     )
     return (
         _with_range(edges)
-        .withColumn("_guess", F.floor((F.col("ts") - F.col("_lo")) / width).cast("int"))
+        .withColumn("_guess", (F.ceil((F.col("ts") + 1 - F.col("_lo")) / width) - 1).cast("int"))
         .withColumn("bin", F.least(exact, F.lit(bins - 1)))
         .drop("_lo", "_hi", "_guess")
     )

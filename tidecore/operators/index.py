@@ -51,25 +51,29 @@ def neighbour_index(
     )
 
 
-HIGHER = F.col("n_core") > F.col("core")
-EQUAL = F.col("n_core") == F.col("core")
+def higher() -> Column:
+    return F.col("n_core") > F.col("core")
+
+
+def equal() -> Column:
+    return F.col("n_core") == F.col("core")
 
 
 def r_index(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """Neighbours with a larger core number."""
-    return neighbour_index(pairs, core, ["core"], r=HIGHER)
+    return neighbour_index(pairs, core, ["core"], r=higher())
 
 
 def mcd_index(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """Neighbours with at least the own core number."""
-    return neighbour_index(pairs, core, ["core"], mcd=HIGHER | EQUAL)
+    return neighbour_index(pairs, core, ["core"], mcd=higher() | equal())
 
 
 def pcd_index(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """Neighbours that are higher, or equal with support beyond their own core number."""
     able = mcd_index(pairs, core).select("u", "core", (F.col("mcd") > F.col("core")).alias("able"))
     return neighbour_index(
-        pairs, able, ["core", "able"], pcd=HIGHER | (EQUAL & F.col("n_able"))
+        pairs, able, ["core", "able"], pcd=higher() | (equal() & F.col("n_able"))
     )
 
 
@@ -80,7 +84,7 @@ def s_index(pairs: DataFrame, core: DataFrame, rounds: int | None = 1) -> DataFr
     r + s > core by round i-1; ``None`` goes on until nothing changes. Returns
     ``(u, core, r, s)``.
     """
-    base = neighbour_index(pairs, core, ["core"], r=HIGHER, s=EQUAL)
+    base = neighbour_index(pairs, core, ["core"], r=higher(), s=equal())
     if rounds == 0:
         return base
     step, total = 0, None
@@ -90,7 +94,7 @@ def s_index(pairs: DataFrame, core: DataFrame, rounds: int | None = 1) -> DataFr
             total = seen["total"]
             able = (F.col("r") + F.col("s") > F.col("core")).alias("able")
             flagged = state.select("u", "core", able)
-            counted = neighbour_index(pairs, flagged, ["core", "able"], s=EQUAL & F.col("n_able"))
+            counted = neighbour_index(pairs, flagged, ["core", "able"], s=equal() & F.col("n_able"))
             following, seen = materialise(
                 state.select("u", "core", "r").join(counted.select("u", "s"), "u"),
                 total=F.coalesce(F.sum("s"), F.lit(0)),
@@ -112,10 +116,10 @@ def qualified_vertices(index: DataFrame) -> DataFrame:
 
 def relaxed_s_index(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """Equal-core neighbours w with r(w) + degree(w) > core."""
-    known = neighbour_index(pairs, core, ["core"], r=HIGHER, degree=F.lit(True))
+    known = neighbour_index(pairs, core, ["core"], r=higher(), degree=F.lit(True))
     able = known.select("u", "core", (F.col("r") + F.col("degree") > F.col("core")).alias("able"))
     return neighbour_index(
-        pairs, able, ["core", "able"], relaxed_s=EQUAL & F.col("n_able")
+        pairs, able, ["core", "able"], relaxed_s=equal() & F.col("n_able")
     )
 
 
@@ -145,10 +149,10 @@ def index_delta(core: DataFrame, qualified: DataFrame, delta: DataFrame) -> Data
         .join(core, "u")
         .groupBy("u")
         .agg(
-            moved(HIGHER).alias("r_delta"),
-            moved(EQUAL & F.col("n_able")).alias("s_delta"),
-            moved(HIGHER | EQUAL).alias("mcd_delta"),
-            moved(HIGHER | (EQUAL & F.col("n_able"))).alias("pcd_delta"),
+            moved(higher()).alias("r_delta"),
+            moved(equal() & F.col("n_able")).alias("s_delta"),
+            moved(higher() | equal()).alias("mcd_delta"),
+            moved(higher() | (equal() & F.col("n_able"))).alias("pcd_delta"),
         )
     )
 
@@ -211,7 +215,7 @@ def promotable(edges: DataFrame, core: DataFrame) -> DataFrame:
         core.join(counts, "u")
         .filter(F.col("n_core") >= F.col("core"))
         .groupBy("u", "core")
-        .agg(_count_where(HIGHER).alias("support"), F.sum("n").alias("_mcd"))
+        .agg(_count_where(higher()).alias("support"), F.sum("n").alias("_mcd"))
         .filter(F.col("_mcd") > F.col("core"))
         .select("u", "core", "support"),
         n=F.count(F.lit(1)),
@@ -220,7 +224,7 @@ def promotable(edges: DataFrame, core: DataFrame) -> DataFrame:
     links, _ = materialise(
         edges.join(near, "v")
         .join(able.select("u", "core"), "u")
-        .filter(EQUAL)
+        .filter(equal())
         .select("u", "v")
     )
     rising = shrink_to_support(able, links, seen["n"])

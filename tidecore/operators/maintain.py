@@ -25,8 +25,8 @@ from tidecore.operators.core import (
 )
 from tidecore.operators.graph import symmetrize
 from tidecore.operators.index import (
-    EQUAL,
-    HIGHER,
+    equal,
+    higher,
     index_delta,
     neighbour_index,
     pcd_index,
@@ -240,7 +240,7 @@ def impact_neighborhood(
     found = start.union(around)
     if core is not None:
         level = around.join(core, "u").select(F.col("u").alias("v"), F.col("core").alias("n_core"))
-        further = both.join(level, "v").join(core, "u").filter(EQUAL).select("u")
+        further = both.join(level, "v").join(core, "u").filter(equal()).select("u")
         found = found.union(further)
     return found.distinct()
 
@@ -274,7 +274,7 @@ def removals_by_level(core: DataFrame, batch: DataFrame) -> DataFrame:
 def equal_core_links(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """Both directions of the edges between vertices of equal core number."""
     other = core.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
-    return symmetrize(pairs).join(other, "v").join(core, "u").filter(EQUAL).select("u", "v")
+    return symmetrize(pairs).join(other, "v").join(core, "u").filter(equal()).select("u", "v")
 
 
 def subcore(pairs: DataFrame, core: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def subcore(pairs: DataFrame, core: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def effective_degree(pairs: DataFrame, core: DataFrame, members: DataFrame) -> DataFrame:
     """For ``members``: neighbours with at least the member's core number."""
-    found = neighbour_index(pairs, core, ["core"], effective_degree=HIGHER | EQUAL)
+    found = neighbour_index(pairs, core, ["core"], effective_degree=higher() | equal())
     return members.select("u").distinct().join(found, "u")
 
 
@@ -316,7 +316,7 @@ def _level_support(pairs: DataFrame, core: DataFrame, members: DataFrame) -> tup
     marked = core.join(inside, "u", "left").select(
         "u", "core", F.coalesce("member", F.lit(False)).alias("member")
     )
-    firm = HIGHER | (EQUAL & ~F.col("n_member"))
+    firm = higher() | (equal() & ~F.col("n_member"))
     support = neighbour_index(pairs, marked, ["core", "member"], support=firm)
     links = equal_core_links(pairs, core.join(inside, "u", "left_semi"))
     return support.join(inside.select("u"), "u", "left_semi"), links
@@ -345,7 +345,7 @@ def promotion_eviction(pairs: DataFrame, core: DataFrame, candidates: DataFrame)
     """Candidates that rise: repeatedly evict those with at most core candidate or higher neighbours."""
     inside = candidates.select("u").distinct()
     with loop_settings(pairs.sparkSession, pairs.count()):
-        support = neighbour_index(pairs, core, ["core"], support=HIGHER)
+        support = neighbour_index(pairs, core, ["core"], support=higher())
         links, _ = materialise(equal_core_links(pairs, core.join(inside, "u", "left_semi")))
         start, seen = materialise(support.join(inside, "u", "left_semi"), n=F.count(F.lit(1)))
         rising = shrink_to_support(start, links, seen["n"])
@@ -372,9 +372,9 @@ def frontier_propagation(
     when r(w) + degree(w) > core. Those conditions are fixed, so a vertex is
     settled once visited. Returns all of ``core`` as ``(u, core, s)``.
     """
-    known = neighbour_index(pairs, core, ["core"], r=HIGHER, degree=F.lit(True))
+    known = neighbour_index(pairs, core, ["core"], r=higher(), degree=F.lit(True))
     able = known.select("u", "core", (F.col("r") + F.col("degree") > F.col("core")).alias("able"))
-    fresh_s = neighbour_index(pairs, able, ["core", "able"], fresh=EQUAL & F.col("n_able"))
+    fresh_s = neighbour_index(pairs, able, ["core", "able"], fresh=equal() & F.col("n_able"))
     with loop_settings(pairs.sparkSession, pairs.count()):
         links, _ = materialise(equal_core_links(pairs, core))
         state, _ = materialise(
