@@ -25,6 +25,7 @@ from tidecore.operators import graph as G
 from tidecore.session import shared_path
 from tidecore.sources import edges as E
 from tidecore.sources import generate, sinks
+from tidecore.plans.scalars import attach
 
 
 def _as_text(spark, edges) -> str:
@@ -70,7 +71,7 @@ FROM l""",
 def _(spark, sf):
     lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
     kept = E.clean_edge_lines(lines).agg(F.count(F.lit(1)).alias("kept"))
-    return E.edge_line_counts(lines).crossJoin(F.broadcast(kept))
+    return E.edge_line_counts(lines).transform(attach, kept)
 
 
 @check("backfill_timestamps", query(PS, body="SELECT src, dst, true AS in_range FROM edges"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidecore.functions.time import SECONDS_PER_DAY, date_text, epoch_date
 from tidecore.operators.graph import as_pairs
 from tidecore.plans.ordering import with_position
+from tidecore.plans.scalars import attach
 
 
 def time_range(edges: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def edges_in_range(edges: DataFrame, t0: int, t1: int) -> DataFrame:
 
 def _with_range(edges: DataFrame) -> DataFrame:
     lo_hi = edges.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    return edges.crossJoin(F.broadcast(lo_hi))
+    return edges.transform(attach, lo_hi)
 
 
 def _clamped(value: Column, bins: int) -> Column:
@@ -64,7 +65,7 @@ def bin_equal_count(edges: DataFrame, bins: int) -> DataFrame:
     total = placed.agg(F.count(F.lit(1)).alias("_total"))
     size = F.ceil(F.col("_total") / F.lit(bins))
     return (
-        placed.crossJoin(F.broadcast(total))
+        placed.transform(attach, total)
         .withColumn("bin", _clamped(F.col("_position") / size, bins))
         .drop("_position", "_total")
     )
@@ -216,7 +217,7 @@ def window_sequence(
     lower = F.greatest(F.floor((offset - F.lit(width)) / F.lit(step)) + 1, F.lit(0))
     return (
         binned.filter(F.col("bin") >= start)
-        .crossJoin(F.broadcast(last))
+        .transform(attach, last)
         .withColumn("_lower", lower)
         .withColumn("_upper", upper)
         .filter(F.col("_lower") <= F.col("_upper"))

@@ -20,6 +20,7 @@ from tidecore.plans.fixpoint import (
     loop_settings,
     materialise,
 )
+from tidecore.plans.scalars import attach
 
 
 def neighbour_counts(
@@ -166,7 +167,7 @@ def core_levels(core: DataFrame, block: int = 4096) -> DataFrame:
     return (
         core.groupBy("core", F.floor(F.col("u") / F.lit(block)).alias("block"))
         .agg(F.sort_array(F.collect_set("u")).alias("vertices"))
-        .crossJoin(F.broadcast(top))
+        .transform(attach, top)
         .select("core", "block", "vertices", (F.col("core") == F.col("_top")).alias("top"))
     )
 

@@ -40,6 +40,7 @@ from tidecore.plans.fixpoint import (
     loop_settings,
     materialise,
 )
+from tidecore.plans.scalars import attach
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def update_core(
             highest = (F.coalesce("_old", F.lit(0)) + F.col("_most")).cast("int")
             bound, seen = materialise(
                 table.degree.join(known, "u", "left")
-                .crossJoin(F.broadcast(most))
+                .transform(attach, most)
                 .select("u", F.least("core", highest).alias("core"), "_most"),
                 total=F.coalesce(F.sum("core"), F.lit(0)),
                 most=F.coalesce(F.max("_most"), F.lit(0)),
@@ -151,7 +152,7 @@ def slide_counts(state: DataFrame) -> DataFrame:
         F.count_if(F.col("_d") > 0).alias("n"),
         (F.sum("_d") / 2).cast("long").alias("m"),
         F.count_if(F.col("_touched")).alias("touched"),
-    ).crossJoin(F.broadcast(state.agg(F.count_if(changed).alias("batch"))))
+    ).transform(attach, state.agg(F.count_if(changed).alias("batch")))
 
 
 def maintain_windows(
@@ -523,13 +524,13 @@ def maintenance_impact(
     changed = old.join(new, "u", "full_outer").agg(
         F.count_if(~F.col("_old").eqNullSafe(F.col("_new"))).alias("affected")
     )
-    return seen.crossJoin(F.broadcast(changed)).select("visited", "affected", "traversed")
+    return seen.transform(attach, changed).select("visited", "affected", "traversed")
 
 
 def impact_ratio(ours: DataFrame, other: DataFrame) -> DataFrame:
     """Visited and traversed of one method as a share of another's."""
     theirs = other.select(F.col("visited").alias("_v"), F.col("traversed").alias("_t"))
-    return ours.crossJoin(F.broadcast(theirs)).select(
+    return ours.transform(attach, theirs).select(
         F.when(F.col("_v") > 0, F.col("visited") / F.col("_v")).otherwise(1.0).alias("visited_ratio"),
         F.when(F.col("_t") > 0, F.col("traversed") / F.col("_t")).otherwise(1.0).alias("traversed_ratio"),
     )

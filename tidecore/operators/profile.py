@@ -13,10 +13,7 @@ from tidecore.functions.time import (
 )
 from tidecore.operators.bins import _SCALES, discretize
 from tidecore.operators.graph import as_pairs, in_out_degrees, raw_degrees, vertex_set
-
-
-def _one(df: DataFrame) -> DataFrame:
-    return F.broadcast(df)
+from tidecore.plans.scalars import attach
 
 
 def dataset_profile(edges: DataFrame) -> DataFrame:
@@ -32,7 +29,7 @@ def dataset_profile(edges: DataFrame) -> DataFrame:
     )
     n, e = F.col("num_nodes"), F.col("num_edges")
     # ends are counted exactly, so the mean degree is 2E/n
-    return totals.crossJoin(_one(per_node)).select(
+    return totals.transform(attach, per_node).select(
         "num_nodes",
         "num_edges",
         "min_timestamp",
@@ -66,7 +63,7 @@ def temporal_profile(edges: DataFrame) -> DataFrame:
     degrees = in_out_degrees(edges).agg(
         F.count(F.lit(1)).alias("num_nodes"), *of("out_degree"), *of("in_degree")
     )
-    return per_ts.crossJoin(_one(degrees)).withColumn("time_span", F.col("max_ts") - F.col("min_ts"))
+    return per_ts.transform(attach, degrees).withColumn("time_span", F.col("max_ts") - F.col("min_ts"))
 
 
 def degree_distribution(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -132,7 +129,7 @@ def inter_event_gaps(edges: DataFrame) -> DataFrame:
     bounds = per_ts.agg(
         F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.sum("edges").alias("_n")
     ).withColumn("_width", F.greatest(F.ceil(F.sqrt(F.col("_hi") - F.col("_lo"))), F.lit(1)))
-    sliced = per_ts.crossJoin(_one(bounds)).withColumn(
+    sliced = per_ts.transform(attach, bounds).withColumn(
         "_slice", F.floor((F.col("ts") - F.col("_lo")) / F.col("_width"))
     )
     inside = F.lag("ts").over(Window.partitionBy("_slice").orderBy("ts"))
@@ -202,7 +199,7 @@ def power_law_slope(edges: DataFrame, drop_min_degree: bool = True) -> DataFrame
     levels = degree_distribution(edges, "out")
     if drop_min_degree:
         smallest = levels.agg(F.min("degree").alias("_min"))
-        levels = levels.crossJoin(_one(smallest)).filter(F.col("degree") > F.col("_min"))
+        levels = levels.transform(attach, smallest).filter(F.col("degree") > F.col("_min"))
     slope = F.regr_slope(F.ln(F.col("nodes").cast("double")), F.ln(F.col("degree").cast("double")))
     return levels.agg(F.count(F.lit(1)).alias("levels"), F.round(slope, 6).alias("slope")).withColumn(
         "plausible", (F.abs("slope") > 1.5) & (F.abs("slope") < 3.5)
@@ -218,7 +215,7 @@ def sparsity(edges: DataFrame) -> DataFrame:
     value = F.col("sparsity")
     return (
         edges.agg(F.count(F.lit(1)).alias("edges"))
-        .crossJoin(_one(vertex_set(edges).agg(F.count(F.lit(1)).alias("nodes"))))
+        .transform(attach, vertex_set(edges).agg(F.count(F.lit(1)).alias("nodes")))
         .withColumn("sparsity", _sparsity(F.col("nodes"), F.col("edges")))
         .withColumn(
             "sparsity_class",
@@ -248,7 +245,7 @@ def temporal_locality(edges: DataFrame, sample: DataFrame | None = None) -> Data
     )
     whole = edges.agg((F.max("ts") - F.min("ts")).alias("total_span"))
     return (
-        mean.crossJoin(_one(whole))
+        mean.transform(attach, whole)
         .withColumn("relative_span", F.col("mean_span") / F.col("total_span"))
         .withColumn("is_local", F.col("relative_span") < 0.5)
     )
@@ -258,9 +255,7 @@ def quality_score(edges: DataFrame) -> DataFrame:
     """Points for temporal density, sparsity, nodes and edges, and a verdict (one row)."""
     t, s = F.col("temporal_density"), F.col("sparsity")
     n, e = F.col("nodes"), F.col("edges")
-    facts = temporal_density(edges).select("temporal_density", "edges").crossJoin(
-        _one(sparsity(edges).select("sparsity", "nodes"))
-    )
+    facts = temporal_density(edges).select("temporal_density", "edges").transform(attach, sparsity(edges).select("sparsity", "nodes"))
     score = F.col("score")
     return (
         facts.select(
@@ -302,7 +297,7 @@ def _split_pairs(edges: DataFrame, split: float) -> DataFrame:
     cut = F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo")) * F.lit(split))
     return (
         as_pairs(
-            edges.crossJoin(_one(bounds)).withColumn("train", F.col("ts") <= cut), ["train"]
+            edges.transform(attach, bounds).withColumn("train", F.col("ts") <= cut), ["train"]
         )
         .groupBy("u", "v")
         .agg(F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("test"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecore.functions.time import SECONDS_PER_DAY, date_text, epoch_date
 from tidecore.operators.bins import calendar_windows, window_pairs
 from tidecore.operators.core import core_numbers, max_core_summary
+from tidecore.plans.scalars import attach
 
 
 def core_timeline(
@@ -21,7 +22,7 @@ def core_timeline(
     windows = window_pairs(calendar_windows(edges, days, slide), "day")
     summary = max_core_summary(core_numbers(windows, keys=["day"], **options), ["day"])
     begin = edges.agg(F.min("ts").alias("_lo"))
-    dated = summary.crossJoin(F.broadcast(begin)).select(
+    dated = summary.transform(attach, begin).select(
         date_text(epoch_date(F.col("_lo") + F.col("day") * SECONDS_PER_DAY)).alias("date"),
         "day",
         "max_core",
