@@ -68,6 +68,10 @@ def test_first_n_by_position_equals_top_k(spark):
     few = B.read_first_n(edges, 20).collect()
     placed = with_position(edges, ["ts", "src", "dst"], "p").filter(F.col("p") < 20).drop("p").collect()
     assert sorted(map(tuple, few)) == sorted(map(tuple, placed))
+    # a third of the rows share one timestamp
+    rows = [(i, 0, 500 if i % 3 == 0 else i) for i in range(9000)]
+    many = {tuple(r) for r in B.read_first_n(edges_df(spark, rows), 3000).collect()}
+    assert many == set(sorted(rows, key=lambda e: (e[2], e[0], e[1]))[:3000])
 
 
 def test_gaps_with_repeats_and_far_timestamps(spark):

@@ -269,15 +269,33 @@ def window_step_sweep(
     )
 
 
+# Up to this many rows "first n" is a top-k, which sends n rows per task to one task.
+TOP_K_ROWS = 2_000
+
+
 def read_first_n(edges: DataFrame, n: int, order: Sequence[str] = ("ts", "src", "dst")) -> DataFrame:
     """The first ``n`` edges in a total order.
 
-    Small ``n`` is a top-k; a large one is cut by position so that no single
-    task has to hold all ``n`` rows.
+    Small ``n`` is a top-k. Otherwise rows beyond an approximate quantile of
+    the first order column are left out (when enough remain, which is counted)
+    and the rest is cut by position, so no single task has to hold ``n`` rows.
     """
-    if n <= 1_000_000:
+    if n <= TOP_K_ROWS:
         return edges.orderBy(*order).limit(n)
-    return with_position(edges, list(order), "_position").filter(F.col("_position") < n).drop("_position")
+    placed = with_position(_at_least_first(edges, n, order[0]), list(order), "_position")
+    return placed.filter(F.col("_position") < n).drop("_position")
+
+
+def _at_least_first(edges: DataFrame, n: int, key: str) -> DataFrame:
+    """A part of ``edges`` that surely holds the first ``n`` by ``key``."""
+    total = edges.count()
+    if total <= n:
+        return edges
+    accuracy = 10_000
+    share = min(1.0, n / total + 2 / accuracy)
+    cut = edges.agg(F.percentile_approx(key, F.lit(share), F.lit(accuracy))).first()[0]
+    near = edges.filter(F.col(key) <= cut)
+    return near if near.count() >= n else edges
 
 
 def batch_from_bins(binned: DataFrame, start: int, width: int, n: int) -> DataFrame:
