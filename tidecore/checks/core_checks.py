@@ -44,7 +44,7 @@ WHERE a.core >= 20 AND b.core >= 20""",
     ),
 )
 def _(spark, sf):
-    return C.k_core(*[cp_pairs(spark, sf), 20])
+    return C.k_core(cp_pairs(spark, sf), 20)
 
 
 LEVELS = "levels AS (SELECT core, count(*) AS vertices FROM core GROUP BY core)"
@@ -91,9 +91,7 @@ def _(spark, sf):
         """wpairs AS (SELECT DISTINCT CAST(w AS INTEGER) AS window_id, least(src, dst) AS u, greatest(src, dst) AS v
     FROM binned, range(6) r(w) WHERE src <> dst AND bin >= 40 + w * 10 AND bin < 50 + w * 10)""",
         sym_sql("wsym", "wpairs", "window_id"),
-        core_sql("wcore", "wsym", 60, "window_id").replace(
-            "SELECT window_id, v AS u", "SELECT window_id, v AS u"
-        ),
+        core_sql("wcore", "wsym", 60, "window_id"),
         body="SELECT window_id, u, core FROM wcore",
     ),
 )

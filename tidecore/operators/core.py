@@ -54,7 +54,7 @@ class NeighbourTable:
         self.spark = pairs.sparkSession
         self._raw = symmetrize(pairs, self.keys).persist()
         degree = self._raw.groupBy(*self.keys, "u").agg(F.count(F.lit(1)).alias("n"))
-        self.degree, seen = materialise(
+        self._saved, seen = materialise(
             degree.select(*self.keys, "u", F.col("n").cast("int").alias("core"), "n"),
             vertices=F.count(F.lit(1)),
             rows=F.coalesce(F.sum("n"), F.lit(0)),
@@ -64,13 +64,13 @@ class NeighbourTable:
         self.vertices, self.rows = seen["vertices"], seen["rows"]
         self.slices = None
         if seen["largest"] > hub_rows:
-            slices = self.degree.filter(F.col("n") > hub_rows).select(
+            slices = self._saved.filter(F.col("n") > hub_rows).select(
                 *self.keys,
                 F.col("u").alias("v"),
                 F.ceil(F.col("n") / F.lit(hub_rows)).cast("int").alias("_slices"),
             )
             self.slices = F.broadcast(slices) if seen["hubs"] <= BROADCAST_ROWS else slices
-        self.degree = self.degree.drop("n")
+        self.degree = self._saved.drop("n")
         self._placed: DataFrame | None = None
 
     @property
@@ -122,8 +122,9 @@ class NeighbourTable:
         return part
 
     def close(self) -> None:
-        """Free the stored edges; ``degree`` stays readable for its last reader."""
+        """Free the stored edges and degrees; results of the rounds do not read them."""
         self._raw.unpersist()
+        discard(self._saved)
         if self._placed is not None:
             self._placed.unpersist()
 

@@ -90,8 +90,7 @@ def update_core(
             ).select("u", "core")
     finally:
         table.close()
-        # a result of local rounds without any change still reads the bound
-        discard(state, dirty)
+        discard(state, bound, dirty)
 
 
 def _flagged(pairs: DataFrame, was: bool, out: bool, into: bool) -> DataFrame:
