@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecore.llm.gram_join import contact_gram_join
+from tidecore.llm.packing import pack_lists
 from tidecore.llm.registry import query, table
+from tidecore.llm.tokens import token_lists, with_crc
 
 
 def words(text: str):
@@ -46,3 +48,11 @@ def op1(spark, sf_dir) -> DataFrame:
     return contact_gram_join(docs, n=5, similarity=(3, 4)).select(
         F.col("u").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links")
     )
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir) -> DataFrame:
+    lists = token_lists(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("u"), "text"))
+    return with_crc(pack_lists(lists, capacity=2048)).select(
+        F.col("u").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("block").alias("sequence_id"), "offset"
+    )
