@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecore.llm.gram_join import contact_gram_join
+from tidecore.llm.grid_join import near_profiles
+from tidecore.llm.nearest import nearest_profiles
 from tidecore.llm.packing import pack_lists
 from tidecore.llm.registry import query, table
 from tidecore.llm.tokens import token_lists, with_crc
@@ -56,3 +58,38 @@ def op2(spark, sf_dir) -> DataFrame:
     return with_crc(pack_lists(lists, capacity=2048)).select(
         F.col("u").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("block").alias("sequence_id"), "offset"
     )
+
+
+def _profiles(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("u"), F.col("embedding").alias("profile"))
+
+
+@query("op3_approximate_nearest_neighbours")
+def op3(spark, sf_dir) -> DataFrame:
+    return nearest_profiles(_profiles(spark, sf_dir), F.col("u") % 100 == 0, k=10).select(
+        F.col("query").alias("query_id"), "rank", F.col("u").alias("vec_id"), F.col("distance").alias("score")
+    )
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), c(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y
+), m AS (SELECT x, min(y) AS component_id FROM c GROUP BY 1
+), d AS (SELECT x, count(*) AS k FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(d.k, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.x = vec_id LEFT JOIN d ON d.x = vec_id
+"""
+
+
+@query("op5_embedding_near_dedup", OP5_SQL)
+def op5(spark, sf_dir) -> DataFrame:
+    return near_profiles(_profiles(spark, sf_dir), cosine=0.9).select(
+        F.col("u").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
