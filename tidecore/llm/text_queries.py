@@ -1 +1,48 @@
 """Thin queries of the operators on texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidecore.llm.quality import score_quality
+from tidecore.llm.registry import query, table
+from tidecore.llm.toxicity import score_toxicity
+
+THRESHOLD = 0.3
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("u"), "text")
+
+
+def labels(spark, sf_dir, name: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("u"), F.col(name).alias("label"))
+
+
+def fold(folds: int) -> Column:
+    return F.crc32(F.col("u").cast("string").cast("binary")) % folds
+
+
+def _scored(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select(
+        F.col("u").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def quality_scores(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return score_quality(texts(docs), labels(spark, sf_dir, "quality"), fold(5) != 0)
+
+
+def toxicity_scores(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return score_toxicity(texts(docs), labels(spark, sf_dir, "toxic"), fold(4) != 2)
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf_dir) -> DataFrame:
+    return _scored(quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir), fold(5) == 0)
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir) -> DataFrame:
+    return _scored(toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir), fold(4) == 2)
