@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 
 from tidecore.llm.hashing import U
 from tidecore.llm.labelled import sample_texts, score_texts
-from tidecore.llm.runs import LETTER, Runs, slices, slot
+from tidecore.llm.runs import LETTER, Runs, slices
 
 # Labelled texts the classifier is fitted on, at most.
 TRAIN_TEXTS = 8000
-ROW_BITS = 20
+SIEVE_BITS = 20
 # Beginnings of words that are features beside the words, in bytes.
 PREFIXES = (4, 5, 6)
 # Words that take part: at least so many texts, and so strongly tied to the label (chi square).
@@ -41,19 +41,17 @@ IDENTITY_TERMS = (
 
 @dataclass
 class ToxicityModel:
-    """Weight of each hashed word, and the bias."""
+    """Hashes of the words that count (ascending), their weights, and the bias."""
 
-    rows: np.ndarray
+    words: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1 for each text; null and empty texts have no words."""
-        table = np.full(1 << ROW_BITS, -1, np.int32)
-        table[self.rows] = np.arange(len(self.rows))
         out = []
         for runs in slices(texts):
-            best, _ = best_sentences(runs, table, self.weights)
+            best, _ = best_sentences(runs, self.words, self.weights)
             out.append(best + self.bias)
         z = np.concatenate(out) if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -74,21 +72,34 @@ def score_toxicity(texts: DataFrame, labels: DataFrame, learnable: Column, ident
 
 
 def _words(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """Words and their beginnings: their place among the runs, and their table rows."""
+    """Words and their beginnings: their place among the runs, and their hashes."""
     at = np.flatnonzero(runs.kind == LETTER)
-    places, slots = [at], [slot(runs, ROW_BITS)[at]]
+    places, hashes = [at], [runs.hash[at]]
     for size in PREFIXES:
-        at, hashes = runs.prefixes(size)
+        at, own = runs.prefixes(size)
         places.append(at)
-        slots.append((hashes >> U(64 - ROW_BITS)).astype(np.int64))
-    return np.concatenate(places), np.concatenate(slots)
+        hashes.append(own)
+    return np.concatenate(places), np.concatenate(hashes)
 
 
-def best_sentences(runs: Runs, table: np.ndarray, weights: np.ndarray):
+def _known(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Index of each hash among ``words``, or -1; a bit set sorts most of them out."""
+    out = np.full(len(hashes), -1)
+    shift = U(64 - SIEVE_BITS)
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[words >> shift] = True
+    maybe = np.flatnonzero(sieve[hashes >> shift])
+    at = np.minimum(np.searchsorted(words, hashes[maybe]), max(len(words) - 1, 0))
+    good = words[at] == hashes[maybe] if len(words) else np.zeros(0, bool)
+    out[maybe[good]] = at[good]
+    return out
+
+
+def best_sentences(runs: Runs, words: np.ndarray, weights: np.ndarray):
     """Highest sum of the weights of a sentence's different words for each text (0 without
     words), and ``(text, word)`` of the words of that sentence."""
-    at, slots = _words(runs)
-    word = table[slots]
+    at, hashes = _words(runs)
+    word = _known(hashes, words)
     known = word >= 0
     at, word = at[known], word[known]
     best = np.zeros(runs.texts)
@@ -120,46 +131,45 @@ def fit(texts: pa.Array, label: np.ndarray, identity_terms: tuple[str, ...] = ID
     if not len(y) or y.min() == y.max():
         return None
     parts = list(slices(texts))
-    rows, z = _select(parts, y)
+    chosen, odds = _select(parts, y)
     terms = next(slices(pa.array([" ".join(identity_terms)])), None) if identity_terms else None
-    groups = np.unique(slot(terms, ROW_BITS)) if terms is not None else np.zeros(0, np.int64)
-    rows = np.union1d(rows, groups)
-    table = np.full(1 << ROW_BITS, -1, np.int32)
-    table[rows] = np.arange(len(rows))
-    weights = np.zeros(len(rows))
-    weights[:] = z[rows]
-    identity = table[groups]
+    groups = np.unique(terms.hash) if terms is not None else np.zeros(0, U)
+    words = np.union1d(chosen, groups)
+    weights = np.zeros(len(words))
+    weights[np.searchsorted(words, chosen)] = odds
+    identity = np.searchsorted(words, groups)
     weights[identity] = 0
     bias = 0.0
     for _ in range(ROUNDS):
         owner, word, base = [], [], 0
         for runs in parts:
-            _, (o, w) = best_sentences(runs, table, weights)
+            _, (o, w) = best_sentences(runs, words, weights)
             owner.append(o + base), word.append(w)
             base += runs.texts
-        weights, bias = _train(np.concatenate(owner), np.concatenate(word), y, len(rows), identity)
-    return ToxicityModel(rows, weights, bias)
+        weights, bias = _train(np.concatenate(owner), np.concatenate(word), y, len(words), identity)
+    return ToxicityModel(words, weights, bias)
 
 
 def _select(parts: list[Runs], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words tied to the label, and the log odds of every word."""
-    seen = [np.zeros(1 << ROW_BITS), np.zeros(1 << ROW_BITS)]
-    base = 0
+    """Hashes of the words tied to the label, and their log odds."""
+    texts, hashes, base = [], [], 0
     for runs in parts:
-        at, slots = _words(runs)
-        pair = np.unique((runs.row[at].astype(np.int64) << ROW_BITS) + slots)
-        positive = y[base + (pair >> ROW_BITS)] > 0
-        slots = pair & ((1 << ROW_BITS) - 1)
-        for k in (0, 1):
-            seen[k] += np.bincount(slots[positive == k], minlength=1 << ROW_BITS)
+        at, own = _words(runs)
+        order = np.lexsort((own, runs.row[at]))
+        row, own = runs.row[at][order], own[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+        texts.append(base + row[new]), hashes.append(own[new])
         base += runs.texts
-    a, b = seen[1], seen[0]
-    p, n = y.sum(), len(y) - y.sum()
-    odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
-    every = a + b
+    words, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    every = np.bincount(of, minlength=len(words)).astype(float)
+    a = np.bincount(of, y[np.concatenate(texts)], minlength=len(words))
+    p, n, b = y.sum(), len(y) - y.sum(), every - a
     chi = len(y) * (a * (n - b) - b * (p - a)) ** 2 / np.maximum(p * n * every * (len(y) - every), 1e-9)
-    fit_for = np.flatnonzero((every >= min(LEAST_TEXTS, max(1, p // 4))) & (chi >= LEAST_CHI))
-    return fit_for[np.argsort(-chi[fit_for], kind="stable")[:MOST_WORDS]], odds
+    use = np.flatnonzero((every >= min(LEAST_TEXTS, max(1, p // 4))) & (chi >= LEAST_CHI))
+    use = np.sort(use[np.argsort(-chi[use], kind="stable")[:MOST_WORDS]])
+    odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
+    return words[use], odds[use]
 
 
 def _train(owner, word, y, width, identity) -> tuple[np.ndarray, float]:
@@ -173,7 +183,7 @@ def _train(owner, word, y, width, identity) -> tuple[np.ndarray, float]:
     is_term = np.zeros(width, bool)
     is_term[identity] = True
     uses = np.bincount(word[is_term[word]], minlength=width) / n  # sentences that name each term
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) ** 0.5
+    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     size = np.bincount(word, minlength=width)
     speed = 1 / np.sqrt(np.maximum(size / n, 1e-3))
     for step in range(STEPS):
