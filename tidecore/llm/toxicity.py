@@ -28,7 +28,7 @@ SIEVE_BITS = 20
 PREFIXES = (4, 5, 6)
 # Words that take part: at least so many texts, and so strongly tied to the label (chi square).
 LEAST_TEXTS, LEAST_CHI, MOST_WORDS = 5, 20.0, 4096
-ROUNDS, STEPS, RATE, LASSO, SWAP_WEIGHT = 3, 1000, 0.5, 5e-5, 4.0
+ROUNDS, STEPS, RATE, DECAY, SWAP_WEIGHT = 3, 500, 0.05, 1e-5, 4.0
 # Terms that name groups, swapped for one another. A parameter of the operator.
 IDENTITY_TERMS = (
     "women", "men", "woman", "man", "girls", "boys", "muslim", "muslims", "christian", "christians",
@@ -173,29 +173,27 @@ def _select(parts: list[Runs], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train(owner, word, y, width, identity) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L1 term; a swap of identity terms should not change a logit.
+    """Logistic regression by Adam; a swap of identity terms should not change a logit.
 
     For a sentence with identity term s, every swap to a term t changes the logit by
     ``w[t] - w[s]``. The penalty is the mean square of these differences over all swaps.
     """
     n = len(y)
-    weights, bias = np.zeros(width), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    theta = np.zeros(width + 1)  # weights, then the bias
     is_term = np.zeros(width, bool)
     is_term[identity] = True
     uses = np.bincount(word[is_term[word]], minlength=width) / n  # sentences that name each term
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    size = np.bincount(word, minlength=width)
-    speed = 1 / np.sqrt(np.maximum(size / n, 1e-3))
-    for step in range(STEPS):
-        z = bias + np.bincount(owner, weights[word], minlength=n)
+    first, second = np.zeros(width + 1), np.zeros(width + 1)
+    for step in range(1, STEPS + 1):
+        z = theta[width] + np.bincount(owner, theta[word], minlength=n)
         d = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        slope = np.bincount(word, d[owner], minlength=width)
+        slope = np.append(np.bincount(word, d[owner], minlength=width) + DECAY * theta[:width], d.sum())
         if len(identity):
-            gap = weights[identity][:, None] - weights[identity][None, :]
+            own = theta[identity]
             pull = uses[identity][:, None] + uses[identity][None, :]
-            slope[identity] += SWAP_WEIGHT * 2 * (gap * pull).sum(1) / max(len(identity) - 1, 1)
-        rate = RATE / (1 + step / STEPS)
-        weights = weights - rate * speed * slope * 4
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * speed * LASSO * 4, 0)
-        bias -= rate * 4 * d.sum()
-    return weights, bias
+            slope[identity] += SWAP_WEIGHT * 2 * ((own[:, None] - own[None, :]) * pull).sum(1) / max(len(identity) - 1, 1)
+        first += 0.1 * (slope - first)
+        second += 0.001 * (slope * slope - second)
+        theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return theta[:width], float(theta[width])
