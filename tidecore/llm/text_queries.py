@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecore.llm.personal import KINDS, personal_spans
 from tidecore.llm.quality import score_quality
 from tidecore.llm.registry import query, table
 from tidecore.llm.toxicity import score_toxicity
@@ -46,3 +47,16 @@ def op8(spark, sf_dir) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark, sf_dir) -> DataFrame:
     return _scored(toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir), fold(4) == 2)
+
+
+@query("op9_pii")
+def op9(spark, sf_dir) -> DataFrame:
+    found = personal_spans(texts(table(spark, sf_dir, "documents")))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        F.col("u").alias("doc_id"),
+        *(of(k) for k in KINDS),
+        F.sha2(line(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
