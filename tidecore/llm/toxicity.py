@@ -27,7 +27,7 @@ SIEVE_BITS = 20
 # Beginnings of words that are features beside the words, in bytes.
 PREFIXES = (4, 5, 6)
 # Words that take part: at least so many texts, and so strongly tied to the label (chi square).
-LEAST_TEXTS, LEAST_CHI, MOST_WORDS = 5, 20.0, 4096
+LEAST_TEXTS, LEAST_CHI, MOST_WORDS = 3, 15.0, 4096
 ROUNDS, STEPS, RATE, DECAY, SWAP_WEIGHT = 3, 500, 0.05, 1e-5, 4.0
 # Terms that name groups, swapped for one another. A parameter of the operator.
 IDENTITY_TERMS = (
@@ -183,7 +183,7 @@ def _train(owner, word, y, width, identity) -> tuple[np.ndarray, float]:
     is_term = np.zeros(width, bool)
     is_term[identity] = True
     uses = np.bincount(word[is_term[word]], minlength=width) / n  # sentences that name each term
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    balance = np.where(y > 0, max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)) ** -0.5
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         z = theta[width] + np.bincount(owner, theta[word], minlength=n)
