@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecore.llm import bilstm, crf
+from tidecore.llm.labelled import different_texts
 
 KINDS = ("email", "ip", "card", "phone")
 # Texts the network is trained on, at most, and their longest; windows from them, at most.
@@ -241,8 +242,7 @@ def personal_spans(texts: DataFrame) -> DataFrame:
     them, or with an empty table, only the base patterns are used.
     """
     pool = texts.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-    sample = pool.groupBy(F.xxhash64("text").alias("key")).agg(F.min("text").alias("text")).orderBy("key").limit(TRAIN_TEXTS)
-    model = fit(sample.select("text").toArrow()["text"].to_pylist())
+    model = fit(different_texts(pool, "text", TRAIN_TEXTS))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecore.llm.pages import main_texts
 from tidecore.llm.personal import KINDS, personal_spans
 from tidecore.llm.quality import score_quality
 from tidecore.llm.registry import query, table
@@ -60,3 +61,9 @@ def op9(spark, sf_dir) -> DataFrame:
         F.sha2(line(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
     )
+
+
+@query("op7_html_extraction")
+def op7(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("u"), "html")
+    return main_texts(pages).select("u.page_id", "u.url", "text", F.length("text").cast("long").alias("n_chars"))
