@@ -12,33 +12,42 @@ SAMPLE_CHARS = 100_000
 
 
 def sample_texts(texts: DataFrame, labels: DataFrame, learnable: Column, size: int) -> tuple[pa.Array, list[float]]:
-    """At most ``size`` labelled texts, those with the smallest hashes, each different text once.
+    """At most ``size`` labelled texts, those whose names have the smallest hashes, each different text once.
 
     ``texts``: ``u, text``; ``labels``: ``u, label``, rows with a null label are ignored;
     several labels of one ``u`` are averaged.
     """
     known = labels.where("u is not null and label is not null").groupBy("u").agg(F.avg(F.col("label").cast("double")).alias("label"))
+    names = texts.where(learnable).where(F.length("text") <= SAMPLE_CHARS).select("u").distinct()
+    chosen = names.join(known, "u").orderBy(F.xxhash64("u"), "u").limit(size)  # names alone: texts don't move
     rows = (
-        texts.where(learnable)
-        .where(F.length("text") <= SAMPLE_CHARS)
-        .join(known, "u")
-        .select("text", "label", F.xxhash64("text").alias("key"))
-        .groupBy("key")
+        texts.where(F.length("text") <= SAMPLE_CHARS)
+        .join(F.broadcast(chosen), "u")
+        .groupBy(F.xxhash64("text").alias("key"))
         .agg(F.min("text").alias("text"), F.avg("label").alias("label"))
         .orderBy("key")
-        .limit(size)
         .select("text", "label")
         .toArrow()
     )
     return rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string()), rows["label"].to_pylist()
 
 
-def score_texts(texts: DataFrame, score) -> DataFrame:
-    """``(u, text)`` to ``(u, score)``; ``score`` maps a string column to an array of numbers."""
+def different_texts(texts: DataFrame, column: str, size: int) -> list[str]:
+    """At most ``size`` different texts of ``column``, those with the smallest hashes; only hashes are sorted."""
+    keyed = texts.where(F.col(column).isNotNull()).withColumn("key", F.xxhash64(column))
+    keys = keyed.select("key").distinct().orderBy("key").limit(size)
+    rows = keyed.join(F.broadcast(keys), "key").groupBy("key").agg(F.min(column).alias(column)).orderBy("key")
+    return rows.select(column).toArrow()[column].to_pylist()
+
+
+def score_texts(texts: DataFrame, score, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(u, text)`` to ``(u, score)`` and the columns ``carry``; ``score`` maps a string column to numbers."""
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch["u"], pa.array(score(batch["text"]), pa.float64())], names=["u", "score"])
+            own = [batch[c] for c in carry]
+            yield pa.record_batch([batch["u"], pa.array(score(batch["text"]), pa.float64()), *own], names=["u", "score", *carry])
 
-    kind = T.StructType([T.StructField("u", texts.schema["u"].dataType), T.StructField("score", T.DoubleType())])
-    return texts.select("u", "text").mapInArrow(run, kind)
+    flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
+    kept = [flow.schema[c] for c in carry]
+    return flow.mapInArrow(run, T.StructType([T.StructField("u", flow.schema["u"].dataType), T.StructField("score", T.DoubleType()), *kept]))
