@@ -19,6 +19,11 @@ def words(text: str):
     return F.split(low, "[\\x20\\x09-\\x0D]+")
 
 
+def histories(docs: DataFrame) -> DataFrame:
+    """Documents as histories of words."""
+    return docs.select(F.col("doc_id").alias("u"), words("text").alias("contacts"))
+
+
 OP1_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -46,15 +51,20 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.x = documents.doc_id LEFT
 
 @query("op1_ngram_jaccard_join", OP1_SQL)
 def op1(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("u"), words("text").alias("contacts"))
-    return contact_gram_join(docs, n=5, similarity=(3, 4)).select(
+    docs = table(spark, sf_dir, "documents")
+    return contact_gram_join(histories(docs), n=5, similarity=(3, 4)).select(
         F.col("u").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links")
     )
 
 
 @query("op2_best_fit_packing")
 def op2(spark, sf_dir) -> DataFrame:
-    lists = token_lists(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("u"), "text"))
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed into sequences of at most 2048 tokens."""
+    lists = token_lists(docs.select(F.col("doc_id").alias("u"), "text"))
     return with_crc(pack_lists(lists, capacity=2048)).select(
         F.col("u").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("block").alias("sequence_id"), "offset"
     )

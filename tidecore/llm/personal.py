@@ -231,7 +231,18 @@ _SPANS = T.ArrayType(
 )
 
 
-def personal_spans(texts: DataFrame) -> DataFrame:
+def redact(text: str, spans) -> str:
+    """``text`` with every span replaced by its kind in brackets; overlapping ones count as the first."""
+    out, at = [], 0
+    for kind, s, e, _ in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+        if s >= at:
+            out += [text[at:s], "[", KINDS[kind].upper(), "]"]
+        at = max(at, e)
+    out.append(text[at:])
+    return "".join(out)
+
+
+def personal_spans(texts: DataFrame, carry: tuple[str, ...] = (), redacted: bool = False) -> DataFrame:
     """Personal data in every text of ``(u, text)``: ``(u, spans)``, one row per row.
 
     ``spans`` is an array of ``kind`` (email, ip, card, phone), ``start``, ``end`` (code
@@ -239,7 +250,9 @@ def personal_spans(texts: DataFrame) -> DataFrame:
     by start. Null and empty texts have none; equal texts have equal spans; other columns
     are ignored. Whole texts are read. The network is trained on at most ``TRAIN_TEXTS``
     of the texts, taken by hash among those with a digit or ``@``; without base spans in
-    them, or with an empty table, only the base patterns are used.
+    them, or with an empty table, only the base patterns are used. The columns ``carry``
+    come along unchanged; ``redacted`` adds ``clean``, the text with its spans replaced
+    (null stays null).
     """
     pool = texts.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
     model = fit(different_texts(pool, "text", TRAIN_TEXTS))
@@ -252,11 +265,14 @@ def personal_spans(texts: DataFrame) -> DataFrame:
                 own = [t or "" for t in part["text"].to_pylist()]
                 base = [base_spans(t) for t in own]
                 more = model.find(own, base) if model else [[] for _ in own]
-                rows = [
-                    [{"kind": KINDS[k], "start": s, "end": e, "base": known} for k, s, e, known in sorted([(*x, True) for x in b] + [(*x, False) for x in m])]
-                    for b, m in zip(base, more, strict=True)
-                ]
-                yield pa.record_batch([part["u"], pa.array(rows, kind)], names=["u", "spans"])
-
-    out = T.StructType([T.StructField("u", texts.schema["u"].dataType), T.StructField("spans", _SPANS)])
-    return texts.select("u", "text").mapInArrow(run, out)
+                every = [sorted([(*x, True) for x in b] + [(*x, False) for x in m]) for b, m in zip(base, more, strict=True)]
+                rows = [[{"kind": KINDS[k], "start": s, "end": e, "base": known} for k, s, e, known in x] for x in every]
+                columns = [part["u"], pa.array(rows, kind), *(part[c] for c in carry)]
+                if redacted:
+                    valid = part["text"].is_valid().to_pylist()
+                    columns.append(pa.array([redact(t, x) if v else None for t, x, v in zip(own, every, valid, strict=True)], pa.string()))
+                yield pa.record_batch(columns, names=["u", "spans", *carry, *(["clean"] if redacted else [])])
+
+    flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
+    fields = [T.StructField("u", flow.schema["u"].dataType), T.StructField("spans", _SPANS), *(flow.schema[c] for c in carry)]
+    return flow.mapInArrow(run, T.StructType(fields + [T.StructField("clean", T.StringType())] * redacted))

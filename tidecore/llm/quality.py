@@ -43,18 +43,18 @@ class QualityModel:
         return _forward((x - self.centre) / self.spread, self.layers)[1]
 
 
-def score_quality(texts: DataFrame, labels: DataFrame, learnable: Column) -> DataFrame:
+def score_quality(texts: DataFrame, labels: DataFrame, learnable: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score every text of ``(u, text)`` for quality: ``(u, score)``, one row per row.
 
     ``labels``: ``(u, label)`` with label 0 or 1; only rows of ``texts`` for which
     ``learnable`` holds are learned from, ``TRAIN_TEXTS`` of them at most. A score is
     between 0 and 1, higher where label 1 is likelier, and depends on the text alone.
-    Null and empty texts get the score of an empty text; equal texts equal scores; other
+    The columns ``carry`` come along unchanged. Null and empty texts get the score of an empty text; equal texts equal scores; other
     columns are ignored. Without usable labels every score is 0.5. Whole texts are read.
     """
     sample, label = sample_texts(texts, labels, learnable, TRAIN_TEXTS)
     model = fit(sample, np.array(label, np.float64))
-    return score_texts(texts, model.score if model else lambda t: np.full(len(t), 0.5))
+    return score_texts(texts, model.score if model else lambda t: np.full(len(t), 0.5), carry)
 
 
 def pool(runs: Runs, words: np.ndarray) -> np.ndarray:

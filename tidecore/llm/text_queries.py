@@ -32,22 +32,22 @@ def _scored(scores: DataFrame, held_out: Column) -> DataFrame:
     )
 
 
-def quality_scores(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return score_quality(texts(docs), labels(spark, sf_dir, "quality"), fold(5) != 0)
+def quality_scores(spark, docs: DataFrame, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return score_quality(docs, labels(spark, sf_dir, "quality"), fold(5) != 0, carry)
 
 
-def toxicity_scores(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return score_toxicity(texts(docs), labels(spark, sf_dir, "toxic"), fold(4) != 2)
+def toxicity_scores(spark, docs: DataFrame, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return score_toxicity(docs, labels(spark, sf_dir, "toxic"), fold(4) != 2, carry)
 
 
 @query("op8_quality_classifier")
 def op8(spark, sf_dir) -> DataFrame:
-    return _scored(quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir), fold(5) == 0)
+    return _scored(quality_scores(spark, texts(table(spark, sf_dir, "documents")), sf_dir), fold(5) == 0)
 
 
 @query("op10_toxicity")
 def op10(spark, sf_dir) -> DataFrame:
-    return _scored(toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir), fold(4) == 2)
+    return _scored(toxicity_scores(spark, texts(table(spark, sf_dir, "documents")), sf_dir), fold(4) == 2)
 
 
 @query("op9_pii")
@@ -67,3 +67,10 @@ def op9(spark, sf_dir) -> DataFrame:
 def op7(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("u"), "html")
     return main_texts(pages).select("u.page_id", "u.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

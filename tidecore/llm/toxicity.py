@@ -57,18 +57,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def score_toxicity(texts: DataFrame, labels: DataFrame, learnable: Column, identity_terms: tuple[str, ...] = IDENTITY_TERMS) -> DataFrame:
+def score_toxicity(
+    texts: DataFrame, labels: DataFrame, learnable: Column, carry: tuple[str, ...] = (), identity_terms: tuple[str, ...] = IDENTITY_TERMS
+) -> DataFrame:
     """Score every text of ``(u, text)`` for toxicity: ``(u, score)``, one row per row.
 
     ``labels``: ``(u, label)`` with label 1 for toxic; only rows of ``texts`` for which
     ``learnable`` holds are learned from, ``TRAIN_TEXTS`` of them at most. A score is
     between 0 and 1, higher where label 1 is likelier, and depends on the text alone.
-    Null and empty texts get the score of a text without words; equal texts equal scores;
+    The columns ``carry`` come along unchanged. Null and empty texts get the score of a text without words; equal texts equal scores;
     other columns are ignored. Without usable labels every score is 0.5. Whole texts are read.
     """
     sample, label = sample_texts(texts, labels, learnable, TRAIN_TEXTS)
     model = fit(sample, np.array(label, np.float64), identity_terms)
-    return score_texts(texts, model.score if model else lambda t: np.full(len(t), 0.5))
+    return score_texts(texts, model.score if model else lambda t: np.full(len(t), 0.5), carry)
 
 
 def _words(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
