@@ -75,11 +75,11 @@ def pool(runs: Runs, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_vectors(parts: list[Runs]) -> np.ndarray:
+def word_vectors(texts: pa.Array) -> np.ndarray:
     """Random indexing: a word is its index vector plus the direction of those around it."""
     index = signs(11, 1 << ROW_BITS, WIDTH, NONZERO)
     around = np.zeros_like(index)
-    for runs in parts:
+    for runs in slices(texts):
         at = slot(runs, ROW_BITS, SHAPES)
         for step in range(1, CONTEXT + 1):
             a, b = at[:-step], at[step:]
@@ -100,9 +100,8 @@ def fit(texts: pa.Array, label: np.ndarray) -> QualityModel | None:
     label = (label >= 0.5).astype(np.float64)
     if not len(label) or label.min() == label.max():
         return None
-    parts = list(slices(texts))
-    words = word_vectors(parts)
-    x = np.concatenate([pool(r, words) for r in parts]).astype(np.float64)
+    words = word_vectors(texts)
+    x = np.concatenate([pool(r, words) for r in slices(texts)]).astype(np.float64)
     held = np.arange(len(x)) % 5 == 0
     if label[~held].min() == label[~held].max():
         held[:] = False

@@ -23,7 +23,7 @@ from tidecore.llm.runs import LETTER, Runs, slices
 
 # Labelled texts the classifier is fitted on, at most.
 TRAIN_TEXTS = 8000
-SIEVE_BITS = 20
+SIEVE_BITS, BUCKET_BITS = 20, 24
 # Beginnings of words that are features beside the words, in bytes.
 PREFIXES = (4, 5, 6)
 # Words that take part: at least so many texts, and so strongly tied to the label (chi square).
@@ -132,8 +132,7 @@ def fit(texts: pa.Array, label: np.ndarray, identity_terms: tuple[str, ...] = ID
     y = (label >= 0.5).astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    parts = list(slices(texts))
-    chosen, odds = _select(parts, y)
+    chosen, odds = _select(texts, y)
     terms = next(slices(pa.array([" ".join(identity_terms)])), None) if identity_terms else None
     groups = np.unique(terms.hash) if terms is not None else np.zeros(0, U)
     words = np.union1d(chosen, groups)
@@ -144,7 +143,7 @@ def fit(texts: pa.Array, label: np.ndarray, identity_terms: tuple[str, ...] = ID
     bias = 0.0
     for _ in range(ROUNDS):
         owner, word, base = [], [], 0
-        for runs in parts:
+        for runs in slices(texts):  # read anew in every round: runs take many times the texts' memory
             _, (o, w) = best_sentences(runs, words, weights)
             owner.append(o + base), word.append(w)
             base += runs.texts
@@ -152,23 +151,43 @@ def fit(texts: pa.Array, label: np.ndarray, identity_terms: tuple[str, ...] = ID
     return ToxicityModel(words, weights, bias)
 
 
-def _select(parts: list[Runs], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words tied to the label, and their log odds."""
-    texts, hashes, base = [], [], 0
-    for runs in parts:
-        at, own = _words(runs)
-        order = np.lexsort((own, runs.row[at]))
-        row, own = runs.row[at][order], own[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-        texts.append(base + row[new]), hashes.append(own[new])
+def _different(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, hash)`` of the different words and beginnings of each text of a slice."""
+    at, own = _words(runs)
+    order = np.lexsort((own, runs.row[at]))
+    row, own = runs.row[at][order], own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+    return row[new], own[new]
+
+
+def _select(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words tied to the label, and their log odds.
+
+    A first pass counts texts per hash bucket, so that the second keeps few of the words that are too rare.
+    """
+    p, n = y.sum(), len(y) - y.sum()
+    least = min(LEAST_TEXTS, max(1, p // 4))
+    shift = U(64 - BUCKET_BITS)
+    count = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for runs in slices(texts):
+        own, times = np.unique(_different(runs)[1] >> shift, return_counts=True)
+        count[own] = np.minimum(count[own] + times, 255)
+    words, every, a, base = np.zeros(0, U), np.zeros(0), np.zeros(0), 0
+    for runs in slices(texts):
+        row, own = _different(runs)
+        keep = count[own >> shift] >= least
+        row, own = row[keep], own[keep]
+        both, of = np.unique(np.concatenate([words, own]), return_inverse=True)
+        total, positive = np.zeros(len(both)), np.zeros(len(both))
+        total[of[: len(words)]], positive[of[: len(words)]] = every, a
+        total += np.bincount(of[len(words) :], minlength=len(both))
+        positive += np.bincount(of[len(words) :], y[base + row], minlength=len(both))
+        words, every, a = both, total, positive
         base += runs.texts
-    words, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    every = np.bincount(of, minlength=len(words)).astype(float)
-    a = np.bincount(of, y[np.concatenate(texts)], minlength=len(words))
-    p, n, b = y.sum(), len(y) - y.sum(), every - a
+    b = every - a
     chi = len(y) * (a * (n - b) - b * (p - a)) ** 2 / np.maximum(p * n * every * (len(y) - every), 1e-9)
-    use = np.flatnonzero((every >= min(LEAST_TEXTS, max(1, p // 4))) & (chi >= LEAST_CHI))
+    use = np.flatnonzero((every >= least) & (chi >= LEAST_CHI))
     use = np.sort(use[np.argsort(-chi[use], kind="stable")[:MOST_WORDS]])
     odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
     return words[use], odds[use]
