@@ -41,7 +41,7 @@ from tidecore.llm.components import components
 from tidecore.plans.fixpoint import discard, materialise
 
 # Words in one block of histories, and grams in one hash range (both only shape tasks).
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 400_000
 RANGE_GRAMS = 1 << 19
 # Sets in one block of the join.
 JOIN_BLOCK = 256

@@ -11,7 +11,7 @@ U = np.uint64
 BASE = U(0x100000001B3)
 MIX = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93))
 # Bytes hashed at a time: bounds the memory of the intermediate arrays.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray, k: int = 0) -> np.ndarray:

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 # A sampled text has at most this many characters; longer ones are scored, not learned from.
 SAMPLE_CHARS = 100_000
+# Texts scored at a time.
+STEP = 1024
 
 
 def sample_texts(texts: DataFrame, labels: DataFrame, learnable: Column, size: int) -> tuple[pa.Array, list[float]]:
@@ -45,8 +47,10 @@ def score_texts(texts: DataFrame, score, carry: tuple[str, ...] = ()) -> DataFra
 
     def run(batches):
         for batch in batches:
-            own = [batch[c] for c in carry]
-            yield pa.record_batch([batch["u"], pa.array(score(batch["text"]), pa.float64()), *own], names=["u", "score", *carry])
+            for i in range(0, len(batch), STEP):  # small batches back: carried texts stand in memory twice
+                part = batch.slice(i, STEP)
+                own = [part[c] for c in carry]
+                yield pa.record_batch([part["u"], pa.array(score(part["text"]), pa.float64()), *own], names=["u", "score", *carry])
 
     flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
     kept = [flow.schema[c] for c in carry]

@@ -28,10 +28,10 @@ from tidecore.llm.labelled import different_texts
 KINDS = ("email", "ip", "card", "phone")
 # Texts the network is trained on, at most, and their longest; windows from them, at most.
 TRAIN_TEXTS, TRAIN_CHARS, TRAIN_WINDOWS = 3000, 50_000, 6000
-WINDOW, STRIDE = 96, 48
-EMBED, HIDDEN, STEPS, BATCH, RATE = 12, 20, 500, 64, 1e-2
+WINDOW, STRIDE = 64, 32
+EMBED, HIDDEN, STEPS, BATCH, RATE = 12, 20, 500, 48, 1e-2
 # Windows decoded at a time, and mean probability an added span needs.
-DECODE, SURE = 1024, 0.98
+DECODE, SURE = 512, 0.9
 
 # The base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -260,8 +260,8 @@ def personal_spans(texts: DataFrame, carry: tuple[str, ...] = (), redacted: bool
 
     def run(batches):
         for batch in batches:
-            for i in range(0, len(batch), 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
                 own = [t or "" for t in part["text"].to_pylist()]
                 base = [base_spans(t) for t in own]
                 more = model.find(own, base) if model else [[] for _ in own]

@@ -16,7 +16,7 @@ from tidecore.llm.labelled import sample_texts, score_texts
 from tidecore.llm.runs import Runs, signs, slices, slot
 
 # Labelled texts the classifier is fitted on, at most.
-TRAIN_TEXTS = 6000
+TRAIN_TEXTS = 4000
 # Word rows (2 ** ROW_BITS, the first SHAPES reserved), numbers per word, words of context on each side.
 ROW_BITS, SHAPES, WIDTH, NONZERO, CONTEXT = 15, 16, 32, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-4

@@ -10,7 +10,7 @@ import pyarrow as pa
 from tidecore.llm.hashing import U, hash_spans, mix
 
 # Texts worked on at a time: bounds the memory of the intermediate arrays.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SPACE, LETTER, DIGIT = 0, 1, 2
 
 

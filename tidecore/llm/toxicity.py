@@ -22,7 +22,7 @@ from tidecore.llm.labelled import sample_texts, score_texts
 from tidecore.llm.runs import LETTER, Runs, slices
 
 # Labelled texts the classifier is fitted on, at most.
-TRAIN_TEXTS = 8000
+TRAIN_TEXTS = 5000
 SIEVE_BITS, BUCKET_BITS = 20, 24
 # Beginnings of words that are features beside the words, in bytes.
 PREFIXES = (4, 5, 6)
