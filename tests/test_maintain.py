@@ -31,6 +31,28 @@ def test_slide_equals_recomputation(spark, options):
     assert as_core(core) == peel(base)
 
 
+def test_removals_near_changes_reach_the_neighbours_of_clipped_vertices(spark):
+    k4 = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    core = C.core_numbers(pairs_df(spark, k4))
+    got = M.core_after_removals(pairs_df(spark, k4), core, pairs_df(spark, [(3, 4)]), frontier_min_rows=0)
+    assert as_core(got) == {1: 2, 2: 2, 3: 2, 4: 2}
+
+
+def test_random_removals_near_changes(spark):
+    # fifty batches at once, as parts of one graph with ids of their own
+    rng = random.Random(11)
+    base, removed = [], []
+    for k in range(50):
+        own = [(1000 * k + a, 1000 * k + b) for a, b in random_pairs(rng, 24, 60)]
+        base += own
+        removed += rng.sample(own, rng.randrange(1, 20))
+    pairs = pairs_df(spark, base)
+    core = C.core_numbers(pairs)
+    got = M.core_after_removals(pairs, core, pairs_df(spark, removed), frontier_share=1.0, frontier_min_rows=0)
+    gone = set(removed)
+    assert as_core(got) == peel([p for p in base if p not in gone])
+
+
 def test_pruned_rounds(spark):
     base, _, _ = case(4)
     chains = base + [(200 + i, 100 + i) for i in range(40)]

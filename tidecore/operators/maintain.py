@@ -20,6 +20,7 @@ from tidecore.operators.core import (
     FRONTIER_MIN_ROWS,
     FRONTIER_SHARE,
     NeighbourTable,
+    _weakened,
     core_numbers,
     lower_to_core,
 )
@@ -77,7 +78,13 @@ def update_core(
                 most=F.coalesce(F.max("_most"), F.lit(0)),
             )
             if seen["most"] == 0 and table.rows >= frontier_min_rows:
-                dirty, _ = materialise(endpoints(leaving).join(table.degree, "u", "left_semi"))
+                # a vertex whose new degree is below its old core falls before the first round:
+                # its neighbours have to be asked as well as the ends of what left
+                fell = bound.join(known, "u").where(F.col("core") < F.col("_old"))
+                fell = fell.select("u", "core", F.col("_old").alias("old"))
+                weak = _weakened(table, table.place(partitions), bound.select("u", "core"), fell)
+                ends = endpoints(leaving).join(table.degree, "u", "left_semi")
+                dirty, _ = materialise(ends.union(weak).distinct())
             return lower_to_core(
                 table,
                 bound.select("u", "core"),
@@ -364,13 +371,14 @@ def core1_to_2_candidates(pairs: DataFrame, core: DataFrame, candidates: DataFra
 
 
 def frontier_propagation(
-    pairs: DataFrame, core: DataFrame, index: DataFrame, seeds: DataFrame, rounds: int = 5
+    pairs: DataFrame, core: DataFrame, index: DataFrame, seeds: DataFrame, rounds: int | None = None
 ) -> DataFrame:
     """Re-count s around ``seeds`` and spread to equal-core neighbours while it changes.
 
     ``index`` is ``(u, s)`` as known before; an equal-core neighbour w counts
     when r(w) + degree(w) > core. Those conditions are fixed, so a vertex is
-    settled once visited. Returns all of ``core`` as ``(u, core, s)``.
+    settled once visited. Returns all of ``core`` as ``(u, core, s)``. Without
+    ``rounds`` it goes on until nothing changes.
     """
     known = neighbour_index(pairs, core, ["core"], r=higher(), degree=F.lit(True))
     able = known.select("u", "core", (F.col("r") + F.col("degree") > F.col("core")).alias("able"))
@@ -384,7 +392,7 @@ def frontier_propagation(
                     F.coalesce("fresh", F.lit(0)).alias("fresh"))
         )
         frontier = seeds.select("u").distinct()
-        for _ in range(rounds):
+        for _ in range(ROUND_LIMIT if rounds is None else rounds):
             moving, seen = materialise(
                 state.join(frontier, "u", "left_semi").filter(F.col("s") != F.col("fresh")),
                 n=F.count(F.lit(1)),
