@@ -57,3 +57,10 @@ def test_samples(spark):
     absent = {tuple(r) for r in X.sample_non_edges(df, vertices, 8).collect()}
     assert len(absent) == 8 and not absent & set(pairs) and all(u < v for u, v in absent)
     assert X.sample_rows(edges_df(spark, [(1, 2, 3)] * 40), 15).count() == 15
+    rows = edges_df(spark, [(i % 50, i, i % 7) for i in range(500)] * 2)
+    one, two = (sorted(map(tuple, X.sample_rows(rows.repartition(k), 60).collect())) for k in (3, 5))
+    assert one == two and len(one) == 60
+    # a dense graph: all absent pairs come back, and no more
+    dense = [(a, b) for b in range(12) for a in range(b) if (a, b) != (3, 7)]
+    few = X.sample_non_edges(pairs_df(spark, dense), pairs_df(spark, dense).select("u").union(pairs_df(spark, dense).select("v")), 5)
+    assert [tuple(r) for r in few.collect()] == [(3, 7)]

@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from tidecore.operators.bins import read_first_n
 
 
+def _key(columns: list[str], seed: int):
+    """A random order of rows that any engine with MD5 can repeat."""
+    return F.md5(F.concat_ws(",", *(F.col(c).cast("string") for c in columns), F.lit(str(seed))).cast("binary"))
+
+
 def sample_existing_edges(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` random pairs of the graph (all of them when it has fewer)."""
-    keyed = pairs.select("u", "v").withColumn("_key", F.xxhash64("u", "v", F.lit(seed)))
+    keyed = pairs.select("u", "v").withColumn("_key", _key(["u", "v"], seed))
     return read_first_n(keyed, n, ["_key", "u", "v"]).select("u", "v")
 
 
 def sample_non_edges(
-    pairs: DataFrame, vertices: DataFrame, n: int, seed: int = 42, tries: int = 100
+    pairs: DataFrame, vertices: DataFrame, n: int, seed: int = 42
 ) -> DataFrame:
-    """Up to ``n`` random absent pairs ``u < v`` from at most ``tries * n`` attempts.
+    """``n`` random absent pairs ``u < v`` of ``vertices``, or all of them when there are fewer.
 
     Draws vertex numbers from two hashes of a counter and looks the vertices up
-    by number; more draws than needed are made only while some are missing.
+    by number; more draws than needed are made only while some are missing. Once they
+    would be as many as there are pairs, all pairs are tried instead.
     """
     from tidecore.plans.fixpoint import discard, materialise
     from tidecore.plans.ordering import with_position
@@ -34,10 +40,12 @@ def sample_non_edges(
         return numbered.select("u", F.col("u").alias("v")).limit(0)
     draws = 2 * n
     while True:
-        attempts = spark.range(min(draws, tries * n)).select(
-            "id",
-            F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("_a"),
-            F.pmod(F.xxhash64("id", F.lit(seed + 1), F.lit("second")), F.lit(size)).alias("_b"),
+        every = draws >= size * size
+        a, b = F.xxhash64("id", F.lit(seed)), F.xxhash64("id", F.lit(seed + 1), F.lit("second"))
+        if every:
+            a, b = F.floor(F.col("id") / size), F.col("id")
+        attempts = spark.range(min(draws, size * size)).select(
+            "id", F.pmod(a, F.lit(size)).alias("_a"), F.pmod(b, F.lit(size)).alias("_b")
         )
         first = numbered.select(F.col("number").alias("_a"), F.col("u").alias("_u"))
         second = numbered.select(F.col("number").alias("_b"), F.col("u").alias("_v"))
@@ -50,15 +58,25 @@ def sample_non_edges(
             .join(pairs.select("u", "v"), ["u", "v"], "left_anti"),
             n=F.count(F.lit(1)),
         )
-        if got["n"] >= n or draws >= tries * n:
-            return read_first_n(absent, n, ["id"]).select("u", "v")
+        if got["n"] >= n or every:
+            order = absent.withColumn("_key", F.xxhash64("u", "v", F.lit(seed))) if every else absent
+            return read_first_n(order, n, ["_key", "u", "v"] if every else ["id"]).select("u", "v")
         discard(absent)
-        draws = min(draws * 4, tries * n)
+        draws *= 4
 
 
 def sample_rows(edges: DataFrame, n: int = 100_000, seed: int = 42) -> DataFrame:
-    """``n`` uniformly chosen rows, repeats of a row included."""
-    keyed = edges.withColumn(
-        "_key", F.xxhash64(*edges.columns, F.monotonically_increasing_id(), F.lit(seed))
-    )
-    return read_first_n(keyed, n, ["_key"]).select(*edges.columns)
+    """``n`` uniformly chosen rows, repeats of a row included.
+
+    Every copy of a row has a number of its own in the order of the sample, which
+    therefore does not depend on how the rows are partitioned.
+    """
+    names = edges.columns
+    counted = edges.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    step = 1 << 16  # numbers in two steps, so that no row needs a long array
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / step))))
+    first = F.col("_block") * step
+    last = F.least(first + step, F.col("_copies")) - 1
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(first, last)))
+    keyed = copies.withColumn("_key", _key([*names, "_copy"], seed))
+    return read_first_n(keyed, n, ["_key", *names, "_copy"]).select(*names)

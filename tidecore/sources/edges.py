@@ -65,15 +65,20 @@ def read_dataset_dir(spark: SparkSession, path: str) -> DataFrame:
     return parse_temporal_edges(lines.select("value", stem.alias("dataset")))
 
 
+def _trimmed(column: str):
+    """Without white space of any kind at both ends, as the readers see a line."""
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def clean_edge_lines(lines: DataFrame) -> DataFrame:
     """Data lines only, trimmed; see ``edge_line_counts`` for what was dropped."""
-    line = F.trim("value")
+    line = _trimmed("value")
     return lines.filter(_is_data(line)).select(line.alias("value"))
 
 
 def edge_line_counts(lines: DataFrame) -> DataFrame:
     """Lines read, comments, blank lines and data lines (one row)."""
-    line = F.trim("value")
+    line = _trimmed("value")
     return lines.agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(line.startswith("#") | line.startswith("%")).alias("comments"),
