@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidecore import checks
 
 QUICK = """clean_edge_lines self_loop_count adjacency in_out_degrees bin_equal_count bin_sorted_boundaries
 discretize start_bin slide_delta effective_delta window_step_sweep batch_from_bins core_numbers pcd_index
@@ -15,9 +16,8 @@ TABLES = "orders lineitem events documents customer".split()
 def test_every_query_is_registered_with_a_callable():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and all(callable(f) for f in queries.values())
-    assert set(queries) - set(oracles) == {
-        "synthetic_temporal_edges", "sample_existing_edges", "sample_non_edges", "sample_rows"
-    }
+    assert set(checks.queries()) <= set(queries)
+    assert set(checks.queries()) - set(checks.oracles()) == {"sample_non_edges"}
 
 
 @pytest.fixture(scope="module")

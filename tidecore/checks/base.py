@@ -23,6 +23,8 @@ ORACLES: dict[str, str] = {}
 
 PART_OFFSET = 1_000_000_000
 BINS, START, WIDTH = 100, 40, 10
+# The slide of the maintenance checks: its two windows cover all bins.
+FROM, SPAN, STEP = 0, 90, 10
 
 
 def check(name: str, sql: str | None = None):
@@ -88,11 +90,11 @@ def cp_binned(spark, sf_dir, bins: int = BINS):
     return B.bin_equal_width(customer_part_edges(spark, sf_dir), bins)
 
 
-def slide_inputs(spark, sf_dir, step: int = 1):
+def slide_inputs(spark, sf_dir):
     """Window graph, its core numbers, and the effective delta of one slide."""
     binned = cp_binned(spark, sf_dir)
-    pairs = G.simple_edges(B.window_edges(binned, START, WIDTH))
-    delta = B.effective_delta(binned, START, WIDTH, step)
+    pairs = G.simple_edges(B.window_edges(binned, FROM, SPAN))
+    delta = B.effective_delta(binned, FROM, SPAN, STEP)
     return pairs, C.core_numbers(pairs), delta
 
 
@@ -159,8 +161,8 @@ def window_sql(suffix: str, start: int, width: int) -> tuple[str, str, str]:
     )
 
 
-BEFORE = (*BINNED, *window_sql("_b", START, WIDTH))
-AFTER = window_sql("_a", START + 1, WIDTH)
+BEFORE = (*BINNED, *window_sql("_b", FROM, SPAN))
+AFTER = window_sql("_a", FROM + STEP, SPAN)
 DELTA = """delta AS (SELECT u, v, 'remove' AS change FROM (SELECT * FROM pairs_b EXCEPT SELECT * FROM pairs_a)
   UNION ALL SELECT u, v, 'add' FROM (SELECT * FROM pairs_a EXCEPT SELECT * FROM pairs_b))"""
 SLIDE = (*BEFORE, *AFTER, DELTA)

@@ -8,8 +8,11 @@ from tidecore.checks.base import (
     BINNED,
     CORE,
     CP,
+    FROM,
     SLIDE,
+    SPAN,
     START,
+    STEP,
     WIDTH,
     check,
     core_sql,
@@ -35,6 +38,12 @@ def _(spark, sf):
     return cp_core(spark, sf)[1]
 
 
+@check("core_numbers_sliced_hubs", query(*CORE, body="SELECT u, core FROM core"))
+def _(spark, sf):
+    # the branches for large graphs, all at once: pruned, near changes only, hubs in slices
+    return C.core_numbers(cp_pairs(spark, sf), prune_min_rows=0, hub_rows=16, frontier_share=1.0, frontier_min_rows=0)
+
+
 @check(
     "k_core",
     query(
@@ -214,7 +223,7 @@ FROM core_b b FULL JOIN core_a a ON a.u = b.u WHERE a.core IS DISTINCT FROM b.co
 )
 def _(spark, sf):
     binned = cp_binned(spark, sf)
-    windows = B.window_sequence(binned, START, WIDTH, 1, 2)
+    windows = B.window_sequence(binned, FROM, SPAN, STEP, 2)
     both = C.windowed_core_numbers(B.window_pairs(windows))
     before = both.filter("window_id = 0").select("u", "core")
     after = both.filter("window_id = 1").select("u", "core")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidecore.checks.base import (
     CP,
+    GRAPH,
     EV,
     check,
     cp_pairs,
@@ -337,7 +338,10 @@ def _(spark, sf):
     return P.active_snapshots(customer_part_edges(spark, sf))
 
 
-@check("sample_existing_edges")
+@check(
+    "sample_existing_edges",
+    query(*GRAPH[:2], body="SELECT u, v FROM pairs ORDER BY md5(u || ',' || v || ',42'), u, v LIMIT 1000"),
+)
 def _(spark, sf):
     return X.sample_existing_edges(cp_pairs(spark, sf), 1000)
 
@@ -350,6 +354,14 @@ def _(spark, sf):
     return X.sample_non_edges(pairs, endpoints(pairs), 1000)
 
 
-@check("sample_rows")
+@check(
+    "sample_rows",
+    query(
+        CP,
+        "numbered AS (SELECT *, row_number() OVER (PARTITION BY src, dst, ts) - 1 AS k FROM edges)",
+        body="""SELECT src, dst, ts FROM numbered
+ORDER BY md5(src || ',' || dst || ',' || ts || ',' || k || ',42'), src, dst, ts, k LIMIT 1000""",
+    ),
+)
 def _(spark, sf):
     return X.sample_rows(customer_part_edges(spark, sf), 1000)
