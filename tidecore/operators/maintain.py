@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecore.operators.bins import slide_state
+from tidecore.operators.components import components
 from tidecore.operators.core import (
     FRONTIER_MIN_ROWS,
     FRONTIER_SHARE,
@@ -416,40 +417,9 @@ def frontier_propagation(
 
 
 def connected_labels(pairs: DataFrame) -> DataFrame:
-    """``(u, component)`` with the smallest vertex id of the component.
-
-    Every round takes the smallest label around a vertex and then that label's
-    own label, so labels travel in doubling steps along a chain.
-    """
-    both, sizes = materialise(symmetrize(pairs), n=F.count(F.lit(1)))
-    with loop_settings(pairs.sparkSession, sizes["n"]):
-        labels, seen = materialise(
-            both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("component")),
-            total=F.coalesce(F.sum(F.col("component").cast("decimal(38,0)")), F.lit(0)),
-        )
-        for _ in range(ROUND_LIMIT):
-            total = seen["total"]
-            around = (
-                both.join(labels.select(F.col("u").alias("v"), "component"), "v")
-                .groupBy("u")
-                .agg(F.min("component").alias("_near"))
-            )
-            near = labels.join(around, "u").select("u", F.least("component", "_near").alias("component"))
-            roots = labels.select(F.col("u").alias("component"), F.col("component").alias("_root"))
-            jumped = near.join(roots, "component", "left").select(
-                "u", F.least("component", F.coalesce("_root", "component")).alias("component")
-            )
-            following, seen = materialise(
-                jumped,
-                total=F.coalesce(F.sum(F.col("component").cast("decimal(38,0)")), F.lit(0)),
-            )
-            discard(labels)
-            labels = following
-            # labels only fall
-            if seen["total"] == total:
-                discard(both)
-                return labels
-    raise NotConverged("component labels still changed")
+    """``(u, component)`` with the smallest vertex id of the component; see ``components``."""
+    labels = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return labels.select(F.col("node").alias("u"), F.col("label").alias("component"))
 
 
 def same_core_components(
