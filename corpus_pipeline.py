@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidecore.llm import pair_queries, text_queries
 from tidecore.llm.gram_join import contact_gram_join
 from tidecore.llm.personal import personal_spans
+from tidecore.llm.registry import long_rows
 from tidecore.session import shared_path
 
 # SQL cannot express the classifiers; the tests compare the stages with brute force.
@@ -29,18 +30,21 @@ def _restored(flow: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier accepts."""
+    long_rows(spark)
     scored = text_queries.quality_scores(spark, _carried(docs), sf_dir, carry=("text", "rest"))
     return _restored(scored.where(F.col("score") >= text_queries.THRESHOLD), docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the toxicity classifier does not reject."""
+    long_rows(spark)
     scored = text_queries.toxicity_scores(spark, _carried(docs), sf_dir, carry=("text", "rest"))
     return _restored(scored.where(F.col("score") < text_queries.THRESHOLD), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id."""
+    long_rows(spark)
     linked = contact_gram_join(pair_queries.histories(docs), n=5, similarity=(3, 4))
     away = linked.where("component <> u").select(F.col("u").alias("doc_id")).distinct()
     twice = linked.where("component = u and links > 0").select("u").groupBy("u").agg(F.count(F.lit(1)).alias("k"))
@@ -53,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
+    long_rows(spark)
     clean = personal_spans(_carried(docs), carry=("rest",), redacted=True)
     out = _restored(clean, docs, "clean")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -60,6 +65,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of at most 2048 tokens."""
+    long_rows(spark)
     return pair_queries.packed(docs)
 
 

@@ -25,7 +25,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Rows of one Arrow batch: texts and pages are long rows, and a batch stands in memory several times.
+ARROW_ROWS = 1024
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Let this application's session send long rows to Python in small batches, unless it chose a size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
