@@ -46,13 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each group of near copies, the one with the smallest id."""
     long_rows(spark)
     linked = contact_gram_join(pair_queries.histories(docs), n=5, similarity=(3, 4))
-    away = linked.where("component <> u").select(F.col("u").alias("doc_id")).distinct()
-    twice = linked.where("component = u and links > 0").select("u").groupBy("u").agg(F.count(F.lit(1)).alias("k"))
-    repeated = twice.where("k > 1").select(F.col("u").alias("doc_id"))
-    kept = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    # rows that carry the same id are told apart only here
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+    away = linked.where("component <> u").select(F.col("u").alias("doc_id"))
+    # rows that carry the same id and stand for one group are told apart only here
+    same = linked.where("component = u and links > 0").groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+    repeated = same.where("k > 1").select(F.col("u").alias("doc_id"))
+    kept = docs.join(away.union(repeated), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.union(once)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
