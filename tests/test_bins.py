@@ -6,6 +6,8 @@ from brute import edges_df
 from tidecore.operators import bins as B
 from tidecore.operators import profile as P
 from tidecore.plans.ordering import with_position, with_previous
+from tidecore.sources import edges as E
+from tidecore.sources import sinks
 
 DAY = 86_400
 
@@ -82,3 +84,26 @@ def test_gaps_with_repeats_and_far_timestamps(spark):
     std = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5
     assert (got["gaps"], got["min_gap"], got["max_gap"]) == (6, 0, max(gaps))
     assert abs(got["mean_gap"] - mean) < 1e-9 and abs(got["std_gap"] - std) < 1e-4
+
+
+def test_bins_become_a_range_of_ts_in_the_scan(spark, tmp_path):
+    rows = [(i, i + 1, 1000 + 37 * i) for i in range(500)]
+    edges_df(spark, rows).write.parquet(str(tmp_path / "edges"))
+    edges = E.read_edge_table(spark, str(tmp_path / "edges"))
+    got = B.edges_of_bins(edges, 30, 7, 4)
+    want = B.window_edges(B.bin_equal_width(edges, 30), 7, 4)
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
+    assert sorted(B.edges_of_bins(edges, 30, 28, 9).collect()) == sorted(B.window_edges(B.bin_equal_width(edges, 30), 28, 9).collect())
+    assert B.edges_of_bins(edges, 30, 30, 2).collect() == [] and B.edges_of_bins(edges.limit(0), 30, 0, 2).collect() == []
+
+
+def test_binned_table_is_read_by_bin(spark, tmp_path):
+    binned = B.bin_equal_width(edges_df(spark, [(i, i + 1, i) for i in range(200)]), 10)
+    sinks.write_binned_edges(binned, str(tmp_path / "binned"))
+    table = E.read_binned_edges(spark, str(tmp_path / "binned"))
+    got = B.window_edges(table, 3, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.window_edges(binned, 3, 2).select("src", "dst", "ts", "bin").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bin" in plan and ">= 3" in plan

@@ -137,6 +137,11 @@ def _(spark, sf):
     return B.window_edges(cp_binned(spark, sf), START, WIDTH)
 
 
+@check("edges_of_bins", query(*BINNED, body="SELECT * FROM binned WHERE bin >= 40 AND bin < 50"))
+def _(spark, sf):
+    return B.edges_of_bins(customer_part_edges(spark, sf), BINS, START, WIDTH)
+
+
 @check("bin_edges_of", query(*BINNED, body="SELECT * FROM binned WHERE bin = 99"))
 def _(spark, sf):
     return B.bin_edges_of(cp_binned(spark, sf), BINS - 1)

@@ -48,6 +48,24 @@ def bin_equal_width(edges: DataFrame, bins: int) -> DataFrame:
     )
 
 
+def edges_of_bins(edges: DataFrame, bins: int, start: int, width: int) -> DataFrame:
+    """``bin_equal_width`` for the bins ``[start, start + width)`` only.
+
+    The bounds of the time range are read first (one row), so that the bins become a
+    range of ``ts`` with constant ends, which reaches a Parquet scan. An empty table or
+    range of bins gives no edges.
+    """
+    lo, hi = edges.agg(F.min("ts"), F.max("ts")).first()
+    first, last = max(start, 0), min(start + width, bins)
+    binned = edges.limit(0) if lo is None or first >= last else edges
+    lo, hi = lo or 0, hi or 0
+    size = float(hi - lo + 1) / bins
+    value = (F.col("ts") - F.lit(lo)) / F.lit(size)
+    # one second of slack at both ends: the bin decides
+    near = binned.filter((F.col("ts") >= lo + int(first * size) - 1) & (F.col("ts") <= lo + int(last * size) + 1))
+    return near.withColumn("bin", _clamped(value, bins)).transform(window_edges, start, width)
+
+
 def bin_timestamp_closed(edges: DataFrame, bins: int) -> DataFrame:
     """Bins of equal width over ``[min, max]``; a single timestamp gives bin 0."""
     span = (F.col("_hi") - F.col("_lo")).cast("double")

@@ -53,6 +53,11 @@ def read_static_edges(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_binned_edges(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``write_binned_edges``; a filter on ``bin`` reads only those bins' files."""
+    return spark.read.parquet(path).select("src", "dst", "ts", "bin")
+
+
 def read_edge_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet edge table written by this library (only the edge columns are read)."""
     return spark.read.parquet(path).select("src", "dst", "ts")

@@ -57,14 +57,11 @@ def write_profile_csv(profiles: DataFrame, path: str, mode: str = "errorifexists
 def write_binned_edges(binned: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Edges as Parquet partitioned by bin, so a window reads only its bins.
 
-    Rows are spread by bin and a hash of the edge: a bin that holds much of the
-    data is written by many tasks, a small one by few.
+    Rows are dealt out in ranges of bin and a hash of the edge, all of about the same size:
+    a bin that holds much of the data is written by as many tasks as it needs.
     """
-    spread = F.pmod(F.xxhash64("src", "dst"), F.lit(16))
     (
-        binned.withColumn("_spread", spread)
-        .repartition("bin", "_spread")
-        .drop("_spread")
+        binned.repartitionByRange(F.col("bin"), F.xxhash64("src", "dst", "ts"))
         .write.mode(mode)
         .partitionBy("bin")
         .parquet(path)
