@@ -23,3 +23,16 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     rows = {r["batch"]: r["max_core"] for r in keeper.timeline().collect()}
     assert rows == {0: 2, 1: 2, 2: 2, 3: 2}
     assert keeper.alerts().count() == 0
+
+
+def test_an_edge_from_the_future_does_not_expire_the_rest(spark, tmp_path):
+    keeper = CorenessStream(spark, str(tmp_path / "state"), days=2)
+    first = [(1, 2, 10), (2, 3, 20), (1, 3, 30)]
+    keeper.process(edges_df(spark, first), 0)
+    keeper.process(edges_df(spark, [(3, 4, 50), (7, 8, 10_000 * DAY)]), 1)
+    assert as_core(keeper.latest_core()) == peel([(1, 2), (2, 3), (1, 3), (3, 4)])
+    early = spark.read.parquet(str(tmp_path / "state" / "early"))
+    assert [(r.u, r.v, r.ts, r.batch) for r in early.collect()] == [(7, 8, 10_000 * DAY, 1)]
+    # a late edge inside the window still counts
+    keeper.process(edges_df(spark, [(1, 4, 15)]), 2)
+    assert as_core(keeper.latest_core()) == peel([(1, 2), (2, 3), (1, 3), (3, 4), (1, 4)])

@@ -32,14 +32,25 @@ class CorenessStream:
     """State folder of one stream: edge log, core numbers, timeline and alerts.
 
     ``folder`` has to be reachable from every executor; ``days`` is the length
-    of the window that ends at the latest event time.
+    of the window that ends at the latest event time. An edge dated more than
+    ``lead_days`` after that time would expire everything else; it is kept in the
+    side table ``early`` instead and does not move the window (the first batch has
+    nothing to compare with). ``None`` takes every date.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, days: int = 7, alert_ratio: float = 0.3):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        days: int = 7,
+        alert_ratio: float = 0.3,
+        lead_days: int | None = 366,
+    ):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.seconds = days * SECONDS_PER_DAY
         self.alert_ratio = alert_ratio
+        self.lead = None if lead_days is None else lead_days * SECONDS_PER_DAY
 
     def _path(self, kind: str, batch: int | None = None) -> str:
         return f"{self.folder}/{kind}" + ("" if batch is None else f"/batch={batch}")
@@ -72,9 +83,14 @@ class CorenessStream:
         spark = edges.sparkSession
         last = self._row(spark, batch - 1)
         day = F.floor(F.col("ts") / F.lit(SECONDS_PER_DAY))
+        pairs = as_pairs(edges, ["ts"])
+        if last is not None and self.lead is not None:
+            limit = last["as_of"] + self.lead
+            early = pairs.filter(F.col("ts") > limit).select("u", "v", "ts")
+            early.write.mode("overwrite").parquet(self._path("early", batch))
+            pairs = pairs.filter(F.col("ts") <= limit)
         arrived = (
-            as_pairs(edges, ["ts"])
-            .select("u", "v", "ts", day.alias("day"), F.lit(batch).cast("long").alias("batch"))
+            pairs.select("u", "v", "ts", day.alias("day"), F.lit(batch).cast("long").alias("batch"))
             .persist()
         )
         try:
