@@ -310,7 +310,7 @@ def _prefixes(num: int, den: int):
 
 
 def _block_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The sets of every pair of blocks to compare: ``pair, side, alone, node, n, copies, grams``."""
+    """The sets of every pair of blocks (x, y) to compare: ``x, y, side, inner, node, n, copies, grams``."""
     index = nodes.select("node", "n", "grams").mapInArrow(_prefixes(num, den), "gram long, node binary, n long, rest long")
     lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     index, _ = materialise(index.join(lists, "gram"))
@@ -348,11 +348,11 @@ def _block_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
         .distinct()
     )
     inner = placed.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
-    pair = cross.union(inner).withColumn("pair", F.xxhash64("x", "y"))
-    sides = pair.select("pair", F.col("x").alias("block"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("inner")).union(
-        pair.where("x <> y").select("pair", F.col("y").alias("block"), F.lit(1).alias("side"), F.lit(False).alias("inner"))
+    pair = cross.union(inner)
+    sides = pair.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("inner")).union(
+        pair.where("x <> y").select("x", "y", F.col("y").alias("block"), F.lit(1).alias("side"), F.lit(False).alias("inner"))
     )
-    out, _ = materialise(sides.join(placed, "block").select("pair", "side", "inner", "node", "n", "copies", "grams"))
+    out, _ = materialise(sides.join(placed, "block").select("x", "y", "side", "inner", "node", "n", "copies", "grams"))
     discard(index, anchors, placed, heads)
     return out
 
@@ -365,15 +365,15 @@ _FOUND = "kind int, node binary, other binary, links long"
 def _join_blocks(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Links inside each pair of blocks: a spanning forest (kind 1) and counts (kind 0)."""
     width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pairs.repartition(width, "pair").sortWithinPartitions("pair")
+    ordered = pairs.repartition(width, "x", "y").sortWithinPartitions("x", "y")
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            key = np.asarray(rest["pair"])
-            cuts = np.flatnonzero(np.diff(key)) + 1
+            x, y = np.asarray(rest["x"]), np.asarray(rest["y"])
+            cuts = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             if len(cuts):
                 for s, e in zip(np.append(0, cuts[:-1]), cuts, strict=True):
                     yield from _join_pair(rest.slice(s, e - s), num, den)
