@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecore.llm import hashing as H
+from tidecore.llm.memory import lean, lean_group
 from tidecore.operators.components import components
 from tidecore.plans.fixpoint import discard, materialise
 
@@ -118,8 +119,8 @@ def _gram_table(histories: DataFrame, n: int, num: int, den: int) -> DataFrame:
     size = histories.agg(F.sum(F.size("contacts").cast("long"))).first()[0] or 0
     bits = max(5, (max(size, 1) // RANGE_GRAMS).bit_length())
     kind = histories.schema["u"].dataType
-    sent = histories.mapInArrow(lambda batches: _send(batches, n, bits), _SENT)
-    back = sent.groupBy("key").applyInArrow(_count_range, _SENT)
+    sent = histories.mapInArrow(lean(lambda batches: _send(batches, n, bits)), _SENT)
+    back = sent.groupBy("key").applyInArrow(lean_group(_count_range), _SENT)
     out = T.StructType(
         [
             T.StructField("u", kind),
@@ -128,7 +129,7 @@ def _gram_table(histories: DataFrame, n: int, num: int, den: int) -> DataFrame:
             T.StructField("grams", T.BinaryType()),
         ]
     )
-    sets, _ = materialise(back.groupBy("block").applyInArrow(lambda t: _settle(t, num, den), out))
+    sets, _ = materialise(back.groupBy("block").applyInArrow(lean_group(lambda t: _settle(t, num, den)), out))
     return sets
 
 
@@ -311,7 +312,7 @@ def _prefixes(num: int, den: int):
 
 def _block_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The sets of every pair of blocks (x, y) to compare: ``x, y, side, inner, node, n, copies, grams``."""
-    index = nodes.select("node", "n", "grams").mapInArrow(_prefixes(num, den), "gram long, node binary, n long, rest long")
+    index = nodes.select("node", "n", "grams").mapInArrow(lean(_prefixes(num, den)), "gram long, node binary, n long, rest long")
     lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     index, _ = materialise(index.join(lists, "gram"))
     # anchors: the smallest set reachable over a few index lists
@@ -381,7 +382,7 @@ def _join_blocks(pairs: DataFrame, num: int, den: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _join_pair(rest, num, den)
 
-    return ordered.mapInArrow(run, _FOUND)
+    return ordered.mapInArrow(lean(run), _FOUND)
 
 
 def _join_pair(table: pa.Table, num: int, den: int):

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecore.llm.memory import lean
+
 # A sampled text has at most this many characters; longer ones are scored, not learned from.
 SAMPLE_CHARS = 100_000
 # Texts scored at a time.
@@ -54,4 +56,4 @@ def score_texts(texts: DataFrame, score, carry: tuple[str, ...] = ()) -> DataFra
 
     flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
     kept = [flow.schema[c] for c in carry]
-    return flow.mapInArrow(run, T.StructType([T.StructField("u", flow.schema["u"].dataType), T.StructField("score", T.DoubleType()), *kept]))
+    return flow.mapInArrow(lean(run), T.StructType([T.StructField("u", flow.schema["u"].dataType), T.StructField("score", T.DoubleType()), *kept]))

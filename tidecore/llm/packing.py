@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecore.llm.memory import lean
 from tidecore.plans.fixpoint import discard, materialise
 
 # Entries packed together in one task; with four bytes each, 32 MB.
@@ -58,7 +59,7 @@ def pack_lists(lists: DataFrame, capacity: int) -> DataFrame:
         ]
     )
     cut = lists.select("u", "neighbours")
-    packed, _ = materialise(cut.mapInArrow(lambda b: _pack_stream(_cut(b, capacity), capacity, 0, False), kind))
+    packed, _ = materialise(cut.mapInArrow(lean(lambda b: _pack_stream(_cut(b, capacity), capacity, 0, False)), kind))
     done, level = [packed.where("done")], 1
     rest = packed.where("not done")
     while True:
@@ -73,7 +74,7 @@ def pack_lists(lists: DataFrame, capacity: int) -> DataFrame:
         else:
             spread = rest.coalesce(1)
         flow = spread.select("u", "piece", "start", "length", "entries")
-        again, _ = materialise(flow.mapInArrow(lambda b, k=level, last=last: _pack_stream(_columns(b), capacity, k, last), kind))
+        again, _ = materialise(flow.mapInArrow(_again(capacity, level, last), kind))
         done.append(again.where("done"))
         rest = again.where("not done")
         level += 1
@@ -93,6 +94,10 @@ def _columns(batches):
         yield [batch[c] for c in _NAMES]
 
 
+def _again(capacity: int, level: int, last: bool):
+    return lean(lambda batches: _pack_stream(_columns(batches), capacity, level, last))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], capacity: int):
     """Pieces of each list, as columns."""
     for batch in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tidecore.llm import bilstm
 from tidecore.llm.labelled import different_texts
+from tidecore.llm.memory import lean
 from tidecore.llm.runs import signs
 
 # Pages the network is trained on, at most, their longest, and composed ones beside them.
@@ -316,4 +317,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 yield pa.record_batch([part["u"], pa.array(texts, pa.string())], names=["u", "text"])
 
     kind = T.StructType([T.StructField("u", pages.schema["u"].dataType), T.StructField("text", T.StringType())])
-    return pages.select("u", "html").mapInArrow(run, kind)
+    return pages.select("u", "html").mapInArrow(lean(run), kind)

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tidecore.llm import bilstm, crf
 from tidecore.llm.labelled import different_texts
+from tidecore.llm.memory import lean
 
 KINDS = ("email", "ip", "card", "phone")
 # Texts the network is trained on, at most, and their longest; windows from them, at most.
@@ -275,4 +276,4 @@ def personal_spans(texts: DataFrame, carry: tuple[str, ...] = (), redacted: bool
 
     flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
     fields = [T.StructField("u", flow.schema["u"].dataType), T.StructField("spans", _SPANS), *(flow.schema[c] for c in carry)]
-    return flow.mapInArrow(run, T.StructType(fields + [T.StructField("clean", T.StringType())] * redacted))
+    return flow.mapInArrow(lean(run), T.StructType(fields + [T.StructField("clean", T.StringType())] * redacted))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidecore.llm.memory import lean
+
 SPACE = "▁"
 # Stands for a literal SPACE mark of the text, which must not be read as a space.
 LITERAL = "\udc81"
@@ -163,7 +165,7 @@ def encode_pieces(texts: DataFrame, path: str, carry: tuple[str, ...] = ()) -> D
 
     flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
     fields = [T.StructField("u", flow.schema["u"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *(flow.schema[c] for c in carry)]
-    return flow.mapInArrow(run, T.StructType(fields))
+    return flow.mapInArrow(lean(run), T.StructType(fields))
 
 
 def decode_pieces(ids: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -182,4 +184,4 @@ def decode_pieces(ids: DataFrame, path: str, carry: tuple[str, ...] = ()) -> Dat
 
     flow = ids.select(*dict.fromkeys(["u", "ids", *carry]))
     fields = [T.StructField("u", flow.schema["u"].dataType), T.StructField("text", T.StringType()), *(flow.schema[c] for c in carry)]
-    return flow.mapInArrow(run, T.StructType(fields))
+    return flow.mapInArrow(lean(run), T.StructType(fields))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidecore.llm.memory import lean
+
 # Closes every text.
 END_ID = 0
 # Texts of one Arrow batch that are encoded at a time.
@@ -50,7 +52,7 @@ def token_lists(texts: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") ->
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.record_batch([part["u"], lists], names=["u", "neighbours"])
 
-    return texts.mapInArrow(run, T.StructType([T.StructField("u", texts.schema["u"].dataType), T.StructField("neighbours", T.ArrayType(T.IntegerType()))]))
+    return texts.mapInArrow(lean(run), T.StructType([T.StructField("u", texts.schema["u"].dataType), T.StructField("neighbours", T.ArrayType(T.IntegerType()))]))
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
@@ -64,4 +66,4 @@ def with_crc(pieces: DataFrame) -> DataFrame:
 
     names = [c for c in pieces.columns if c != "entries"]
     kind = T.StructType([pieces.schema[c] for c in names] + [T.StructField("ids_crc32", T.LongType())])
-    return pieces.select(*names, "entries").mapInArrow(run, kind)
+    return pieces.select(*names, "entries").mapInArrow(lean(run), kind)
