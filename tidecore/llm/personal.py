@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidecore.llm import bilstm, crf
 from tidecore.llm.labelled import different_texts
-from tidecore.llm.memory import lean
+from tidecore.llm.memory import give_back, lean
 
 KINDS = ("email", "ip", "card", "phone")
 # Texts the network is trained on, at most, and their longest; windows from them, at most.
@@ -257,6 +257,7 @@ def personal_spans(texts: DataFrame, carry: tuple[str, ...] = (), redacted: bool
     """
     pool = texts.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
     model = fit(different_texts(pool, "text", TRAIN_TEXTS))
+    give_back()  # the driver trains more than one model
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches):

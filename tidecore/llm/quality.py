@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tidecore.llm.labelled import sample_texts, score_texts
+from tidecore.llm.memory import give_back
 from tidecore.llm.runs import Runs, signs, slices, slot
 
 # Labelled texts the classifier is fitted on, at most.
@@ -54,6 +55,8 @@ def score_quality(texts: DataFrame, labels: DataFrame, learnable: Column, carry:
     """
     sample, label = sample_texts(texts, labels, learnable, TRAIN_TEXTS)
     model = fit(sample, np.array(label, np.float64))
+    del sample
+    give_back()  # the driver trains more than one model
     return score_texts(texts, model.score if model else lambda t: np.full(len(t), 0.5), carry)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 
 from tidecore.llm.hashing import U
 from tidecore.llm.labelled import sample_texts, score_texts
+from tidecore.llm.memory import give_back
 from tidecore.llm.runs import LETTER, Runs, slices
 
 # Labelled texts the classifier is fitted on, at most.
@@ -70,6 +71,8 @@ def score_toxicity(
     """
     sample, label = sample_texts(texts, labels, learnable, TRAIN_TEXTS)
     model = fit(sample, np.array(label, np.float64), identity_terms)
+    del sample
+    give_back()  # the driver trains more than one model
     return score_texts(texts, model.score if model else lambda t: np.full(len(t), 0.5), carry)
 
 
