@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidecore.llm import packing
 from tidecore.llm.gram_join import contact_gram_join, contact_histories
 from tidecore.llm.grid_join import near_profiles
 from tidecore.llm.nearest import nearest_profiles
@@ -168,6 +169,14 @@ def test_pack_lists(spark, monkeypatch):
     assert pack_lists(df.limit(0), 100).collect() == []
 
 
+def test_blocks_that_cannot_be_filled_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ENTRIES", 500)
+    df = spark.createDataFrame([(i, [i] * (55 + i % 40)) for i in range(60)], "u long, neighbours array<int>").repartition(3)
+    got = pack_lists(df, 100).collect()
+    assert sorted((r.u, r.length) for r in got) == [(i, 55 + i % 40) for i in range(60)]
+    assert len({r.block for r in got}) == 60 and {r.offset for r in got} == {0}
+
+
 def test_token_ids_are_those_of_tokenizers(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -59,14 +59,11 @@ def pack_lists(lists: DataFrame, capacity: int) -> DataFrame:
         ]
     )
     cut = lists.select("u", "neighbours")
-    packed, _ = materialise(cut.mapInArrow(lean(lambda b: _pack_stream(_cut(b, capacity), capacity, 0, False)), kind))
+    packed, seen = materialise(cut.mapInArrow(lean(lambda b: _pack_stream(_cut(b, capacity), capacity, 0, False)), kind), **_sums(capacity))
     done, level = [packed.where("done")], 1
     rest = packed.where("not done")
-    while True:
-        entries = rest.agg(F.sum("length")).first()[0] or 0
-        groups = -(-entries // GROUP_ENTRIES)
-        if not groups:
-            break
+    while seen["entries"]:
+        groups = -(-seen["entries"] // GROUP_ENTRIES)
         last = groups == 1
         if not last:
             # rounding up keeps every task at about one group
@@ -74,10 +71,15 @@ def pack_lists(lists: DataFrame, capacity: int) -> DataFrame:
         else:
             spread = rest.coalesce(1)
         flow = spread.select("u", "piece", "start", "length", "entries")
-        again, _ = materialise(flow.mapInArrow(_again(capacity, level, last), kind))
+        again, now = materialise(flow.mapInArrow(_again(capacity, level, last), kind), **_sums(capacity))
+        if now["blocks"] >= seen["open"]:
+            # these pieces do not fit any better: the blocks stay as they were
+            discard(again)
+            done.append(rest)
+            break
         done.append(again.where("done"))
         rest = again.where("not done")
-        level += 1
+        seen, level = now, level + 1
         if last:
             break
     out = done[0]
@@ -86,6 +88,16 @@ def pack_lists(lists: DataFrame, capacity: int) -> DataFrame:
     return out.drop("done")
 
 
+def _sums(capacity: int) -> dict:
+    """Blocks of a packing, those still open, and the entries in these; a block starts at offset 0."""
+    first, still = F.col("offset") == 0, ~F.col("done")
+    return {
+        "blocks": F.count(F.when(first, 1)),
+        "open": F.count(F.when(first & still, 1)),
+        "entries": F.coalesce(F.sum(F.when(still, F.col("length"))), F.lit(0)),
+    }
+
+
 _NAMES = ["u", "piece", "start", "length", "entries"]
 
 
@@ -120,7 +132,7 @@ def _pack_stream(parts, capacity: int, level: int, last: bool):
     """Pack groups as they fill up; blocks are numbered by round, partition and order."""
     from pyspark import TaskContext
 
-    number = (level << 56) + (TaskContext.get().partitionId() << 32)
+    number = (level << 52) + (TaskContext.get().partitionId() << 32)
     held, size = [], 0
 
     def flush():
