@@ -1,6 +1,9 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from brute import edges_df, pairs_df
+from tidecore.operators import bins as B
 from tidecore.operators import sampling as X
 from tidecore.sources import edges as E
 from tidecore.sources import generate, sinks
@@ -64,3 +67,15 @@ def test_samples(spark):
     dense = [(a, b) for b in range(12) for a in range(b) if (a, b) != (3, 7)]
     few = X.sample_non_edges(pairs_df(spark, dense), pairs_df(spark, dense).select("u").union(pairs_df(spark, dense).select("v")), 5)
     assert [tuple(r) for r in few.collect()] == [(3, 7)]
+
+
+def test_samples_above_the_top_k(spark):
+    n = B.TOP_K_ROWS + 500
+    key = lambda *x: hashlib.md5(",".join(map(str, [*x, 42])).encode()).hexdigest()
+    pairs = [(i, i + 1 + i % 7) for i in range(6000)]
+    got = {tuple(r) for r in X.sample_existing_edges(pairs_df(spark, pairs), n).collect()}
+    assert got == set(sorted(pairs, key=lambda p: key(*p))[:n])
+    rows = [(i % 50, i, i % 7) for i in range(3000)]
+    sample = sorted(tuple(r) for r in X.sample_rows(edges_df(spark, rows * 2), n).collect())
+    copies = sorted(((*r, c) for r in rows for c in range(2)), key=lambda r: key(*r))
+    assert sample == sorted(r[:3] for r in copies[:n])

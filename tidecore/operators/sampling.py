@@ -13,10 +13,20 @@ def _key(columns: list[str], seed: int):
     return F.md5(F.concat_ws(",", *(F.col(c).cast("string") for c in columns), F.lit(str(seed))).cast("binary"))
 
 
+def _first_by_key(keyed: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows by ``_key``, then ``order``.
+
+    The leading 60 bits of the key as a number come first, as quantiles need numbers; they
+    sort as the key does.
+    """
+    lead = F.conv(F.substring("_key", 1, 15), 16, 10).cast("long")
+    return read_first_n(keyed.withColumn("_lead", lead), n, ["_lead", "_key", *order])
+
+
 def sample_existing_edges(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` random pairs of the graph (all of them when it has fewer)."""
     keyed = pairs.select("u", "v").withColumn("_key", _key(["u", "v"], seed))
-    return read_first_n(keyed, n, ["_key", "u", "v"]).select("u", "v")
+    return _first_by_key(keyed, n, ["u", "v"]).select("u", "v")
 
 
 def sample_non_edges(
@@ -79,4 +89,4 @@ def sample_rows(edges: DataFrame, n: int = 100_000, seed: int = 42) -> DataFrame
     last = F.least(first + step, F.col("_copies")) - 1
     copies = blocks.withColumn("_copy", F.explode(F.sequence(first, last)))
     keyed = copies.withColumn("_key", _key([*names, "_copy"], seed))
-    return read_first_n(keyed, n, ["_key", *names, "_copy"]).select(*names)
+    return _first_by_key(keyed, n, [*names, "_copy"]).select(*names)
