@@ -33,9 +33,11 @@ class CorenessStream:
 
     ``folder`` has to be reachable from every executor; ``days`` is the length
     of the window that ends at the latest event time. An edge dated more than
-    ``lead_days`` after that time would expire everything else; it is kept in the
-    side table ``early`` instead and does not move the window (the first batch has
-    nothing to compare with). ``None`` takes every date.
+    ``lead_days`` after that time would expire everything else; it waits in the
+    side table ``early`` until the window's end comes within ``lead_days`` of it, and
+    does not move the window before (the first batch has nothing to compare with).
+    A batch that has such edges but none for the window is taken as a gap in the
+    stream: the window moves on to the first of them. ``None`` takes every date.
     """
 
     def __init__(
@@ -71,47 +73,76 @@ class CorenessStream:
             return None
         return spark.read.schema(TIMELINE_SCHEMA).parquet(path).first()
 
-    def _log(self, spark: SparkSession, first_day: int, last_day: int) -> DataFrame:
-        """Logged pairs of a range of days; folders of other days are not even listed."""
+    def _log(self, spark: SparkSession, days: list[int]) -> DataFrame:
+        """Logged pairs of some days; folders of other days are not even listed."""
         root = self._path("log")
-        days = [f"{root}/day={d}" for d in range(first_day, last_day + 1)]
-        found = [p for p in days if self._exists(spark, p)]
+        found = [p for p in (f"{root}/day={d}" for d in days) if self._exists(spark, p)]
         return spark.read.option("basePath", root).schema(LOG_SCHEMA).parquet(*found)
 
+    def _waiting(self, spark: SparkSession, batch: int, as_of: int) -> DataFrame:
+        """Edges that earlier batches put aside and that the window has not reached yet."""
+        schema = "u long, v long, ts long, batch long"
+        if not self._exists(spark, self._path("early")):
+            return spark.createDataFrame([], schema).drop("batch")
+        early = spark.read.schema(schema).parquet(self._path("early"))
+        return early.filter((F.col("batch") < batch) & (F.col("ts") > as_of + self.lead)).drop("batch")
+
+    def _reach(self, pairs: DataFrame, pool: DataFrame, as_of: int) -> int:
+        """The latest event time that a batch takes: ``lead_days`` after the window's new end.
+
+        ``pairs`` are the batch's own, ``pool`` has the waiting ones besides. The end moves
+        on as long as it brings further edges within reach.
+        """
+        ts, now = F.col("ts"), as_of
+        live = (ts > as_of - self.seconds) & (ts <= as_of + self.lead)
+        own = pairs.agg(
+            F.count(F.when(live, 1)).alias("live"), F.min(F.when(ts > as_of + self.lead, ts)).alias("ahead")
+        ).first()
+        if not own["live"] and own["ahead"] is not None:
+            now = own["ahead"]
+        while True:
+            top = pool.filter(ts <= now + self.lead).agg(F.max("ts")).first()[0]
+            if top is None or top <= now:
+                return now + self.lead
+            now = top
+
     def process(self, edges: DataFrame, batch: int) -> None:
         """One micro-batch; the function to hand to ``foreachBatch``."""
         spark = edges.sparkSession
         last = self._row(spark, batch - 1)
         day = F.floor(F.col("ts") / F.lit(SECONDS_PER_DAY))
-        pairs = as_pairs(edges, ["ts"])
+        pairs = as_pairs(edges, ["ts"]).select("u", "v", "ts").persist()
+        pool = pairs
         if last is not None and self.lead is not None:
-            limit = last["as_of"] + self.lead
-            early = pairs.filter(F.col("ts") > limit).select("u", "v", "ts")
-            early.write.mode("overwrite").parquet(self._path("early", batch))
-            pairs = pairs.filter(F.col("ts") <= limit)
-        arrived = (
-            pairs.select("u", "v", "ts", day.alias("day"), F.lit(batch).cast("long").alias("batch"))
-            .persist()
-        )
+            pool = pairs.union(self._waiting(spark, batch, last["as_of"])).persist()
+        arrived = pool
         try:
+            if pool is not pairs:
+                limit = self._reach(pairs, pool, last["as_of"])
+                early = pairs.filter(F.col("ts") > limit)
+                early.write.mode("overwrite").parquet(self._path("early", batch))
+                arrived = pool.filter(F.col("ts") <= limit)
             newest = arrived.agg(F.max("ts")).first()[0]
             if newest is None:
                 self._carry(spark, batch, last)
                 return
             (
-                arrived.write.mode("overwrite")
+                arrived.select("u", "v", "ts", day.alias("day"), F.lit(batch).cast("long").alias("batch"))
+                .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("day", "batch")
                 .parquet(self._path("log"))
             )
         finally:
-            arrived.unpersist()
+            pool.unpersist()
+            pairs.unpersist()
         was = None if last is None else last["as_of"]
         now = newest if was is None else max(newest, was)
         oldest = (now if was is None else was) - self.seconds
-        held = self._log(spark, oldest // SECONDS_PER_DAY, now // SECONDS_PER_DAY).filter(
-            F.col("batch") <= batch
-        )
+        # after a gap, the days between the two windows hold nothing that counts
+        ends = {(oldest, now if was is None else was), (max(oldest, now - self.seconds), now)}
+        days = {d for a, b in ends for d in range(a // SECONDS_PER_DAY, b // SECONDS_PER_DAY + 1)}
+        held = self._log(spark, sorted(days)).filter(F.col("batch") <= batch)
         before = F.lit(False)
         if was is not None:
             before = (F.col("batch") < batch) & (F.col("ts") > was - self.seconds)
@@ -206,10 +237,13 @@ class CorenessStream:
 
 
 def stream_coreness(
-    stream: DataFrame, folder: str, days: int = 7, available_now: bool = False
+    stream: DataFrame, folder: str, days: int = 7, available_now: bool = False, lead_days: int | None = 366
 ) -> tuple[CorenessStream, StreamingQuery]:
-    """Start keeping the core numbers of the last ``days`` days of ``stream``."""
-    keeper = CorenessStream(stream.sparkSession, folder, days)
+    """Start keeping the core numbers of the last ``days`` days of ``stream``.
+
+    Edges over ``lead_days`` ahead wait, see ``CorenessStream``.
+    """
+    keeper = CorenessStream(stream.sparkSession, folder, days, lead_days=lead_days)
     return keeper, keeper.start(stream, available_now)
 
 
