@@ -88,6 +88,17 @@ def test_swaps_make_identity_terms_neutral():
     assert fair[0] < unfair[0]
 
 
+@pytest.mark.parametrize("term", ["women", "muslim", "christians"])
+def test_beginnings_of_identity_terms_are_neutral_too(term):
+    def biased(words, label, rng):
+        return " ".join([term, *words] if rng.random() < (0.9 if label else 0.1) else words)
+
+    data = made_up(3, 600, biased)
+    model = toxicity.fit(pa.array([t for t, _ in data]), np.array([y for _, y in data], float))
+    scores = model.score(pa.array([f"{t} kaloter misus" for t in (term, "men", "african", "")]))
+    assert np.ptp(scores[:3]) < 0.01 and np.ptp(scores) < 0.05
+
+
 def test_runs_follow_the_rules():
     texts = ["Ab1 AB%%% ÉÖ é. x\nx", None, "", " \t", "x"]
     (runs,) = list(slices(pa.array(texts)))

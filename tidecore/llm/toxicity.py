@@ -2,7 +2,7 @@
 
 A text is scored by its sentence that scores highest. A sentence is the set of its
 words and of their beginnings, hashed, so that inflected forms of a known stem count. While learning, identity terms in the labelled sentences are
-swapped for one another, and every difference in score between a sentence and its swapped
+swapped for one another and left out, with their beginnings, and every difference in score between a sentence and its swapped
 form is penalised, so that naming a group says nothing by itself.
 
 The project has no records of texts with toxicity labels, so this operator is
@@ -136,13 +136,13 @@ def fit(texts: pa.Array, label: np.ndarray, identity_terms: tuple[str, ...] = ID
     if not len(y) or y.min() == y.max():
         return None
     chosen, odds = _select(texts, y)
-    terms = next(slices(pa.array([" ".join(identity_terms)])), None) if identity_terms else None
-    groups = np.unique(terms.hash) if terms is not None else np.zeros(0, U)
-    words = np.union1d(chosen, groups)
+    terms = [np.unique(_words(runs)[1]) for term in identity_terms for runs in slices(pa.array([term]))]
+    words = np.union1d(chosen, np.concatenate(terms)) if terms else chosen
     weights = np.zeros(len(words))
     weights[np.searchsorted(words, chosen)] = odds
-    identity = np.searchsorted(words, groups)
-    weights[identity] = 0
+    identity = [np.searchsorted(words, own) for own in terms if len(own)]
+    for own in identity:
+        weights[own] = 0
     bias = 0.0
     for _ in range(ROUNDS):
         owner, word, base = [], [], 0
@@ -199,24 +199,30 @@ def _select(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _train(owner, word, y, width, identity) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam; a swap of identity terms should not change a logit.
 
-    For a sentence with identity term s, every swap to a term t changes the logit by
-    ``w[t] - w[s]``. The penalty is the mean square of these differences over all swaps.
+    ``identity``: the features of each term, which are the word and its beginnings. For a
+    sentence with identity term s, every swap to a term t changes the logit by the sum over
+    the features of t less that over those of s. The penalty is the mean square of these
+    differences over all swaps, and the square of what leaving the term out changes: swaps
+    alone would leave all terms raised alike.
     """
     n = len(y)
     theta = np.zeros(width + 1)  # weights, then the bias
-    is_term = np.zeros(width, bool)
-    is_term[identity] = True
-    uses = np.bincount(word[is_term[word]], minlength=width) / n  # sentences that name each term
+    terms = len(identity)
+    features = np.concatenate([np.zeros(0, np.int64), *identity])
+    of = np.repeat(np.arange(terms), [len(own) for own in identity])
+    seen = np.bincount(word, minlength=width) / n
+    uses = np.array([seen[own].min() for own in identity])  # sentences that name each term
+    pull = uses[:, None] + uses[None, :]
     balance = np.where(y > 0, max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)) ** -0.5
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         z = theta[width] + np.bincount(owner, theta[word], minlength=n)
         d = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         slope = np.append(np.bincount(word, d[owner], minlength=width) + DECAY * theta[:width], d.sum())
-        if len(identity):
-            own = theta[identity]
-            pull = uses[identity][:, None] + uses[identity][None, :]
-            slope[identity] += SWAP_WEIGHT * 2 * ((own[:, None] - own[None, :]) * pull).sum(1) / max(len(identity) - 1, 1)
+        if terms:
+            own = np.bincount(of, theta[features], minlength=terms)
+            push = SWAP_WEIGHT * 2 * (((own[:, None] - own[None, :]) * pull).sum(1) / max(terms - 1, 1) + own * uses)
+            slope[:width] += np.bincount(features, push[of], minlength=width)
         first += 0.1 * (slope - first)
         second += 0.001 * (slope * slope - second)
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
