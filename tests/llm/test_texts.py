@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecore.llm import bilstm, crf, pages, personal, quality, toxicity
-from tidecore.llm.pieces import LITERAL, SPACE, Pieces, decode_pieces, encode_pieces
+from tidecore.llm.pieces import LITERAL, SPACE, Pieces, decode_pieces, encode_pieces, vocabulary
 from tidecore.llm.preferences import format_preferences
 from tidecore.llm.runs import slices
 
@@ -273,6 +273,21 @@ def test_streaming_search_equals_the_whole_one(pieces):
                 assert pieces.encode(text).tolist() == want
 
 
+def test_ids_are_those_of_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(a) for _ in range(n)) for n in (1, 5, 60, 700) for a in ("abcdeinrst", "ab", "é中x \n", "0123456789., ", "aaab   ")]
+    texts += ["the distributed word", " ", "  a  b ", "a" * 3000, "x\t\ty", "😀é中", "<s></s><unk><0x0A>"]
+    pieces = vocabulary(path)
+    wrong = [t for t in texts if t and pieces.encode(t).tolist() != own.encode(t)]
+    assert not wrong, (len(wrong), wrong[0][:80])
+
+
 def test_round_trip(spark, sf_dir, pieces):
     import public_tokenizers
 

@@ -1,6 +1,7 @@
-"""SentencePiece encoding by a streaming Viterbi search, and decoding.
+"""SentencePiece encoding by a streaming search, and decoding.
 
-The best path over the scores of a public vocabulary is found while the text streams
+The scores of a BPE model are the ranks of its merges, which are made in their order
+inside each word (``Merges``). For a unigram model the best path over the scores of a public vocabulary is found while the text streams
 by. Only states within the longest piece of the current place can still matter;
 when the back pointers of all of them meet in one boundary, the ids before it are final
 and are committed, and the window moves on. Pieces never reach over the start of
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +72,15 @@ class Pieces:
         for word in self.words.findall(marked):
             ids = found.get(word)
             if ids is None:
-                ids = np.array(self.viterbi(word), np.int32).tobytes()
+                ids = np.array(self.search(word), np.int32).tobytes()
                 if len(word) <= WORD_CHARS:
                     found[word] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
+    def search(self, marked: str) -> list[int]:
+        return self.viterbi(marked)
+
     def viterbi(self, marked: str) -> list[int]:
         """Ids of the best path; states are kept only while a piece can still start at them.
 
@@ -139,9 +144,61 @@ class Pieces:
         return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
 
 
+class Merges(Pieces):
+    """A BPE vocabulary: the best-ranked merge first, the leftmost among equals."""
+
+    def search(self, marked: str) -> list[int]:
+        """Ids after all merges; a heap holds those that two neighbours could make now."""
+        part: list[str] = list(marked)
+        n = len(part)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []  # minus the score, place, length of the merged piece
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j < n and (piece := self.ids.get(both := part[i] + part[j])) is not None:
+                heappush(heap, (-piece[1], i, len(both)))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, size = heappop(heap)
+            j = after[i]
+            # one of the two has been merged otherwise since
+            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:
+                continue
+            part[i] += part[j]
+            part[j] = ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out: list[int] = []
+        i = 0
+        while i < n:
+            piece = self.ids.get(part[i])
+            if piece is not None:
+                out.append(piece[0])
+            else:
+                out += self.fallback(part[i])
+            i = after[i]
+        return out
+
+
+def _is_bpe(path: str) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == model.trainer_spec.BPE
+
+
 @cache
 def vocabulary(path: str) -> Pieces:
-    return Pieces(path)
+    return Merges(path) if _is_bpe(path) else Pieces(path)
 
 
 def encode_pieces(texts: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
