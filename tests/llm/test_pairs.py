@@ -169,12 +169,27 @@ def test_pack_lists(spark, monkeypatch):
     assert pack_lists(df.limit(0), 100).collect() == []
 
 
+def test_fillings_without_an_exact_one_are_all_tried():
+    counts = np.zeros(2049, int)
+    counts[[1100, 600, 470]] = 300, 300, 600
+    assert sum(t for _, t in complete_bins(counts, 2048)) == 400
+
+
+def test_nearly_full_blocks_meet_small_pieces_of_other_files(spark):
+    rows = [(i, [1] * 95) for i in range(40)] + [(100 + i, [2] * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "u long, neighbours array<int>").coalesce(1)
+    df = df.where("u < 100").union(df.where("u >= 100"))  # two partitions
+    assert pack_lists(df, 100).select("block").distinct().count() == 40
+
+
 def test_blocks_that_cannot_be_filled_end_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ENTRIES", 500)
     df = spark.createDataFrame([(i, [i] * (55 + i % 40)) for i in range(60)], "u long, neighbours array<int>").repartition(3)
     got = pack_lists(df, 100).collect()
     assert sorted((r.u, r.length) for r in got) == [(i, 55 + i % 40) for i in range(60)]
     assert len({r.block for r in got}) == 60 and {r.offset for r in got} == {0}
+    copies = spark.createDataFrame([(i, [i] * 34) for i in range(60)], "u long, neighbours array<int>").repartition(2)
+    assert 30 <= pack_lists(copies, 100).select("block").distinct().count() <= 31
 
 
 def test_token_ids_are_those_of_tokenizers(spark, sf_dir):

@@ -23,7 +23,7 @@ from tidecore.plans.fixpoint import discard, materialise
 
 # Entries packed together in one task; with four bytes each, 32 MB.
 GROUP_ENTRIES = 8_000_000
-# A block that lacks at least this share of its capacity is packed again in the next round.
+# A block that lacks at least this share of its capacity is packed again first.
 REPACK_SHARE = 16
 # Search steps of one group before the best packing so far is taken.
 SEARCH_NODES = 20_000
@@ -55,46 +55,56 @@ def pack_lists(lists: DataFrame, capacity: int) -> DataFrame:
             T.StructField("entries", T.BinaryType()),
             T.StructField("block", T.LongType()),
             T.StructField("offset", T.LongType()),
-            T.StructField("done", T.BooleanType()),
+            T.StructField("room", T.LongType()),
         ]
     )
     cut = lists.select("u", "neighbours")
-    packed, seen = materialise(cut.mapInArrow(lean(lambda b: _pack_stream(_cut(b, capacity), capacity, 0, False)), kind), **_sums(capacity))
-    done, level = [packed.where("done")], 1
-    rest = packed.where("not done")
-    while seen["entries"]:
-        groups = -(-seen["entries"] // GROUP_ENTRIES)
-        last = groups == 1
-        if not last:
-            # rounding up keeps every task at about one group
-            spread = rest.repartition(int(groups), F.xxhash64("block"))
-        else:
-            spread = rest.coalesce(1)
-        flow = spread.select("u", "piece", "start", "length", "entries")
-        again, now = materialise(flow.mapInArrow(_again(capacity, level, last), kind), **_sums(capacity))
-        if now["blocks"] >= seen["open"]:
-            # these pieces do not fit any better: the blocks stay as they were
-            discard(again)
-            done.append(rest)
-            break
-        done.append(again.where("done"))
-        rest = again.where("not done")
-        seen, level = now, level + 1
-        if last:
-            break
-    out = done[0]
-    for more in done[1:]:
+    packed, _ = materialise(cut.mapInArrow(lean(lambda b: _pack_stream(_cut(b, capacity), capacity, 0, False)), kind))
+    parts, level, failed = [packed], 1, None
+    # badly filled blocks first; all that are short of full only where these did not suffice
+    for share in (REPACK_SHARE, capacity):
+        short = F.col("room") * share >= capacity
+        while True:
+            table = parts[0]
+            for more in parts[1:]:
+                table = table.union(more)
+            seen = table.agg(*(c.alias(k) for k, c in _sums(capacity, short).items())).first()
+            least = max(-(-seen["total"] // capacity), seen["large"])
+            if seen["blocks"] <= least or seen["open"] < 2 or seen["open"] == failed:
+                break
+            groups = -(-seen["entries"] // GROUP_ENTRIES)
+            last = groups == 1
+            rest = table.where(short)
+            if not last:
+                # rounding up keeps every task at about one group
+                spread = rest.repartition(int(groups), F.xxhash64("block"))
+            else:
+                spread = rest.coalesce(1)
+            flow = spread.select("u", "piece", "start", "length", "entries")
+            again, now = materialise(flow.mapInArrow(_again(capacity, level, last), kind), blocks=F.count(F.when(F.col("offset") == 0, 1)))
+            if now["blocks"] >= seen["open"]:
+                # these pieces do not fit any better: the blocks stay as they were
+                discard(again)
+                failed = seen["open"]
+                break
+            parts, level = [table.where(~short), again], level + 1
+            if last:
+                break
+    out = parts[0]
+    for more in parts[1:]:
         out = out.union(more)
-    return out.drop("done")
+    return out.drop("room")
 
 
-def _sums(capacity: int) -> dict:
-    """Blocks of a packing, those still open, and the entries in these; a block starts at offset 0."""
-    first, still = F.col("offset") == 0, ~F.col("done")
+def _sums(capacity: int, short) -> dict:
+    """Entries, blocks and pieces over half a block; blocks to pack again and their entries. A block starts at offset 0."""
+    first = F.col("offset") == 0
     return {
+        "total": F.coalesce(F.sum("length"), F.lit(0)),
         "blocks": F.count(F.when(first, 1)),
-        "open": F.count(F.when(first & still, 1)),
-        "entries": F.coalesce(F.sum(F.when(still, F.col("length"))), F.lit(0)),
+        "large": F.count(F.when(F.col("length") * 2 > capacity, 1)),
+        "open": F.count(F.when(first & short, 1)),
+        "entries": F.coalesce(F.sum(F.when(short, F.col("length"))), F.lit(0)),
     }
 
 
@@ -140,12 +150,12 @@ def _pack_stream(parts, capacity: int, level: int, last: bool):
         columns = [pa.concat_arrays([p[i] for p in held]) for i in range(5)]
         length = np.asarray(columns[3], np.int64)
         block, offset, fill = assign(length, capacity)
-        done = np.ones(len(length), bool) if last else (REPACK_SHARE * (capacity - fill) < capacity)[block]
+        room_left = (capacity - fill)[block]
         order = np.lexsort((offset, block))
         for i in range(0, len(order), 4096):
             at = pa.array(order[i : i + 4096])
             pick = order[i : i + 4096]
-            yield pa.record_batch([c.take(at) for c in columns] + [pa.array(number + block[pick], pa.int64()), pa.array(offset[pick], pa.int64()), pa.array(done[pick])], names=[*_NAMES, "block", "offset", "done"])
+            yield pa.record_batch([c.take(at) for c in columns] + [pa.array(number + block[pick], pa.int64()), pa.array(offset[pick], pa.int64()), pa.array(room_left[pick], pa.int64())], names=[*_NAMES, "block", "offset", "room"])
         number += len(fill)
 
     for part in parts:
@@ -224,7 +234,7 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES)
                 continue
             while not left[top]:
                 top -= 1
-            frames.append([None, 0, iter(list(_fillings(here, left, top, capacity))), top])
+            frames.append([None, 0, _fillings(here, left, top, capacity), top])
         elif not frames:
             break
         frame = frames[-1]
@@ -239,6 +249,10 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES)
             frames.pop()
             down = False
             continue
+        if not pattern:  # looked at and dominated
+            frame[1], down = 0, False
+            steps += 1
+            continue
         times = min(left[n] // pattern.count(n) for n in set(pattern))
         for n in pattern:
             left[n] -= times
@@ -250,44 +264,96 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES)
 
 
 def _fillings(here: np.ndarray, left: list[int], top: int, capacity: int) -> Iterator[tuple[int, ...]]:
-    """Ways to fill a block around one piece of length ``top``, none dominated by an earlier one.
+    """Ways to fill a block around one piece of length ``top``, the fullest first; an empty one is no way.
 
-    A single piece that fills the room exactly dominates every other way. Then
-    come pairs and triples that fill it exactly, largest member first, and the
-    pairs whose second member is the largest that fits; a best-fit row ends them.
+    A single piece that fills the room exactly dominates every other way. Then come
+    pairs and triples that fill it exactly and are quickly found, largest member first, and
+    at last all undominated ways. Counts are read when the next way is asked for, which
+    has to be in the same state of the search.
     """
     room = capacity - top
-    left[top] -= 1
-    own, here[top] = here[top], left[top] > 0
-    try:
-        if room == 0:
-            yield (top,)
-            return
-        if here[room]:
-            yield (top, room)
-            return
-        fits = np.flatnonzero(here[: room + 1])[::-1]
-        if not len(fits):
-            yield (top,)
+    if room == 0:
+        yield (top,)
+        return
+    have = lambda n: left[n] - (n == top)
+    if have(room) > 0:
+        yield (top, room)
+        return
+    fits = np.flatnonzero(here[: room + 1])[::-1]
+    fits = fits[[have(n) > 0 for n in fits.tolist()]] if top <= room else fits
+    if not len(fits):
+        yield (top,)
+        return
+    seen = set()
+    for a in fits[:24].tolist():
+        if top <= room:
+            left[top] -= 1
+            own, here[top] = here[top], left[top] > 0
+        exact = _pair(here, left, room - a, a)
+        if top <= room:
+            left[top] += 1
+            here[top] = own
+        if exact is not None and (x := tuple(sorted((a, *exact), reverse=True))) not in seen:
+            seen.add(x)
+            yield (top, *x)
+    for x in _undominated([(n, min(have(n), room // n)) for n in fits.tolist()], {n: have(n) for n in fits.tolist()}, room):
+        if x not in seen:
+            yield (top, *x) if x else ()
+
+
+def _undominated(sizes: list[tuple[int, int]], have: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """Multisets of ``sizes`` (length and most copies, descending) by falling sum; empty for a dominated one."""
+    full = (1 << (room + 1)) - 1
+    reach = [1]  # sums that the lengths from each place on can make, as bit sets
+    for n, most in reversed(sizes):
+        sums, step = reach[-1], 1
+        while most:
+            k = min(step, most)
+            sums |= (sums << (n * k)) & full
+            most, step = most - k, 2 * step
+        reach.append(sums)
+    reach.reverse()
+
+    def ways(i: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
             return
-        seen = set()
-        for a in fits[:24]:
-            exact = _pair(here, left, room - int(a), int(a))
-            if exact is not None and (x := tuple(sorted((int(a), *exact), reverse=True))) not in seen:
-                seen.add(x)
-                yield (top, *x)
-        row, space = [], room
-        for a in fits:
-            k = min(left[a], space // int(a))
-            row += [int(a)] * k
-            space -= k * int(a)
-            if not space:
-                break
-        if tuple(row) not in seen:
-            yield (top, *row)
-    finally:
-        left[top] += 1
-        here[top] = own
+        for j in range(i, len(sizes)):
+            if not reach[j] >> rest & 1:
+                return
+            n, most = sizes[j]
+            for k in range(min(most, rest // n), 0, -1):
+                if reach[j + 1] >> (rest - n * k) & 1:
+                    for more in ways(j + 1, rest - n * k):
+                        yield (n,) * k + more
+
+    every = sum(1 << n for n in have)
+    for total in range(room, 0, -1):
+        if reach[0] >> total & 1:
+            for x in ways(0, total):
+                yield () if _dominated(x, have, every, room - total) else x
+
+
+def _dominated(x: tuple[int, ...], have: dict[int, int], outside: int, slack: int) -> bool:
+    """Whether a piece left outside could take the place of some (or none) of ``x`` at no loss."""
+    several = 0  # sums of two pieces or more
+    made, ones = 1, 0
+    for n in x:
+        several |= (several << n) | (ones << n)
+        ones |= 1 << n
+        made |= made << n
+    for n in set(x):
+        if have[n] == x.count(n):
+            outside ^= 1 << n
+    larger = 0
+    if slack:  # every sum (of no piece as well) and 1 to ``slack`` more
+        up, width = made << 1, 1
+        while width < slack:
+            step = min(width, slack - width)
+            up |= up << step
+            width += step
+        larger = up & outside
+    return bool(several & outside or larger)
 
 
 def _pair(here: np.ndarray, left: list[int], room: int, used: int) -> tuple[int, ...] | None:
