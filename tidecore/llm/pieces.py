@@ -1,11 +1,12 @@
-"""SentencePiece encoding by a streaming search, and decoding.
+"""SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The scores of a BPE model are the ranks of its merges, which are made in their order
-inside each word (``Merges``). For a unigram model the best path over the scores of a public vocabulary is found while the text streams
-by. Only states within the longest piece of the current place can still matter;
-when the back pointers of all of them meet in one boundary, the ids before it are final
-and are committed, and the window moves on. Pieces never reach over the start of
-a word, so every word start is such a boundary; words met before are looked up.
+The best path over the pieces of a public vocabulary is found while the text streams by. Only states
+within the longest piece of the current place can still matter; when the back pointers of all of them meet in
+one boundary, the ids before it are final and are committed, and the window moves on. For a unigram model the
+best path has the largest sum of scores. For a BPE model (``Merges``) the scores are ranks of merges and their sum says
+nothing; there a path is right when every two neighbouring pieces stay apart if their characters are merged in the
+order of the ranks, and exactly one right piece ends at each place. Pieces never reach over the
+start of a word, so every word start is a boundary too; words met before are looked up.
 
 The project has no records of texts, so this operator is general.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,33 @@ from tidecore.llm.memory import lean
 SPACE = "▁"
 # Stands for a literal SPACE mark of the text, which must not be read as a space.
 LITERAL = "\udc81"
-# Words remembered by a task, and the longest that are.
-WORDS, WORD_CHARS = 200_000, 48
+# Words, and pairs of neighbouring pieces, remembered by a worker (older ones go first), and the longest words that are.
+WORDS, PAIRS, WORD_CHARS = 400_000, 400_000, 48
 UNKNOWN_PENALTY = 10.0
 
 
+class Recent:
+    """A lookup of bounded size: when the younger half is full, the older half goes."""
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Pieces:
     """A vocabulary: ids and scores of its pieces, byte pieces, and the bytes of each id."""
 
@@ -56,7 +78,7 @@ class Pieces:
         self.unknown = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(r"(?s).+" if crosses else rf"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(WORDS)
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")]
@@ -66,45 +88,25 @@ class Pieces:
         if not text:
             return np.zeros(0, np.int32)
         marked = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
-        if len(self.known) > WORDS:
-            self.known.clear()
-        found, out = self.known, []
+        known, out = self.known, []
         for word in self.words.findall(marked):
-            ids = found.get(word)
+            ids = known.young.get(word)
             if ids is None:
-                ids = np.array(self.search(word), np.int32).tobytes()
-                if len(word) <= WORD_CHARS:
-                    found[word] = ids
+                ids = known.get(word)
+                if ids is None:
+                    ids = np.array(self.viterbi(word), np.int32).tobytes()
+                    if len(word) <= WORD_CHARS:
+                        known.put(word, ids)
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
-    def search(self, marked: str) -> list[int]:
-        return self.viterbi(marked)
-
     def viterbi(self, marked: str) -> list[int]:
-        """Ids of the best path; states are kept only while a piece can still start at them.
-
-        Among paths of the same score the one whose last piece is longest wins.
-        """
+        """Ids of the best path; states are kept only while a piece can still start at them."""
         best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # place: score, previous place, id
         out: list[int] = []
         base = 0  # the last committed boundary
         for end in range(1, len(marked) + 1):
-            top = None
-            for start in range(max(base, end - self.longest), end):
-                state = best.get(start)
-                if state is None:
-                    continue
-                piece = self.ids.get(marked[start:end])
-                if piece is not None:
-                    score, name = state[0] + piece[1], piece[0]
-                elif start == end - 1:
-                    score, name = state[0] + self.unknown, -1
-                else:
-                    continue
-                if top is None or score > top[0]:
-                    top = (score, start, name)
-            best[end] = top
+            best[end] = self.step(best, marked, max(base, end - self.longest), end)
             if end - base >= 2 * self.longest:
                 cut = self._meeting(best, base, end)
                 if cut > base:
@@ -115,6 +117,21 @@ class Pieces:
         self._commit(best, marked, base, len(marked), out)
         return out
 
+    def step(self, best: dict, marked: str, first: int, end: int) -> tuple[float, int, int]:
+        """The best state at ``end``; among paths of the same score the one whose last piece is longest."""
+        top = None
+        for start in range(first, end):
+            piece = self.ids.get(marked[start:end])
+            if piece is not None:
+                score, name = best[start][0] + piece[1], piece[0]
+            elif start == end - 1:
+                score, name = best[start][0] + self.unknown, -1
+            else:
+                continue
+            if top is None or score > top[0]:
+                top = (score, start, name)
+        return top
+
     def _meeting(self, best: dict, base: int, end: int) -> int:
         """The latest boundary that the paths of all states still in reach run through."""
         live = sorted(range(max(base, end - self.longest + 1), end + 1))
@@ -138,53 +155,64 @@ class Pieces:
                 out.append(name)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: the inverse of ``encode``."""
+        """The text of ids: the inverse of ``encode``. An id that the vocabulary does not have is U+FFFD."""
         table = self.decoded
-        text = b"".join([table[i] for i in ids.tolist()])
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(table)):
+            text = b"".join([table[i] if 0 <= i < len(table) else b"\xef\xbf\xbd" for i in ids.tolist()])
+        else:
+            text = b"".join([table[i] for i in ids.tolist()])
         return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
 
 
 class Merges(Pieces):
-    """A BPE vocabulary: the best-ranked merge first, the leftmost among equals."""
-
-    def search(self, marked: str) -> list[int]:
-        """Ids after all merges; a heap holds those that two neighbours could make now."""
-        part: list[str] = list(marked)
-        n = len(part)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int]] = []  # minus the score, place, length of the merged piece
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < n and (piece := self.ids.get(both := part[i] + part[j])) is not None:
-                heappush(heap, (-piece[1], i, len(both)))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, size = heappop(heap)
-            j = after[i]
-            # one of the two has been merged otherwise since
-            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:
-                continue
-            part[i] += part[j]
-            part[j] = ""
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        out: list[int] = []
-        i = 0
-        while i < n:
-            piece = self.ids.get(part[i])
+    """A BPE vocabulary: the best-ranked merge comes first, the leftmost among equals.
+
+    The pieces of a text are right if and only if every two neighbours are: merging the characters of the two
+    gives back the two. So the last piece of each beginning of the text follows from the last pieces of shorter ones.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.names = {i: piece for piece, (i, _) in self.ids.items()}
+        self.apart = Recent(PAIRS)
+
+    def step(self, best: dict, marked: str, first: int, end: int) -> tuple[float, int, int]:
+        """The one state at ``end`` whose last piece is right beside the one before it."""
+        ids = self.ids
+        for start in range(first, end):
+            piece = ids.get(marked[start:end])
             if piece is not None:
-                out.append(piece[0])
-            else:
-                out += self.fallback(part[i])
-            i = after[i]
-        return out
+                name, before = piece[0], best[start][2]
+                # the characters before a committed boundary are known to stay apart; unknown ones never merge
+                if before < 0 and start + 1 == end or self.stays(before, name):
+                    return 0.0, start, name
+        return 0.0, end - 1, -1
+
+    def stays(self, before: int, name: int) -> bool:
+        """Whether two pieces (or a piece after none, -1) come out of merging their characters."""
+        key = (before, name)
+        found = self.apart.young.get(key)
+        if found is None:
+            found = self.apart.get(key)
+            if found is None:
+                pieces = [self.names[name]] if before < 0 else [self.names[before], self.names[name]]
+                found = self.merged("".join(pieces)) == pieces
+                self.apart.put(key, found)
+        return found
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces left when neighbours are merged in the order of the ranks; for a few characters."""
+        parts = list(text)
+        while True:
+            top = None
+            for i in range(len(parts) - 1):
+                piece = self.ids.get(parts[i] + parts[i + 1])
+                if piece is not None and (top is None or piece[1] > top[0]):
+                    top = (piece[1], i)
+            if top is None:
+                return parts
+            i = top[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 def _is_bpe(path: str) -> bool:
@@ -201,12 +229,21 @@ def vocabulary(path: str) -> Pieces:
     return Merges(path) if _is_bpe(path) else Pieces(path)
 
 
-def encode_pieces(texts: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def _fields(flow: DataFrame, made: list[T.StructField], carry: tuple[str, ...]) -> T.StructType:
+    taken = {"u", *(f.name for f in made)} & set(carry)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are made here and cannot be carried")
+    return T.StructType([T.StructField("u", flow.schema["u"].dataType), *made, *(flow.schema[c] for c in carry)])
+
+
+def encode_pieces(texts: DataFrame, path: str, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """Ids of every text of ``(u, text)``: ``(u, ids)`` and the columns ``carry``, one row per row.
 
     ``path``: a SentencePiece model file that every executor can read. Whole texts
     are read. A null text has null ids, an empty one none; equal texts have equal ids;
-    other columns are ignored. Characters without a piece become their bytes.
+    other columns are ignored. Characters without a piece become their bytes. With ``decoded`` the column
+    ``decoded`` holds what the ids stand for, found in the same pass. An empty table gives an empty result.
+    A word longer than ``WORD_CHARS`` is searched in a window and not remembered. ``carry`` must not name a column made here.
     """
 
     def run(batches):
@@ -216,17 +253,24 @@ def encode_pieces(texts: DataFrame, path: str, carry: tuple[str, ...] = ()) -> D
                 part = batch.slice(i, 512)
                 texts_ = part["text"].to_pylist()
                 ids = [pieces.encode(t or "") for t in texts_]
+                none = pa.array([t is None for t in texts_])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in texts_]))
-                yield pa.record_batch([part["u"], lists, *(part[c] for c in carry)], names=["u", "ids", *carry])
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=none)]
+                if decoded:
+                    made.append(pa.array([None if t is None else pieces.decode(x) for t, x in zip(texts_, ids, strict=True)], pa.string()))
+                yield pa.record_batch([part["u"], *made, *(part[c] for c in carry)], names=["u", *(f.name for f in fields), *carry])
 
     flow = texts.select(*dict.fromkeys(["u", "text", *carry]))
-    fields = [T.StructField("u", flow.schema["u"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *(flow.schema[c] for c in carry)]
-    return flow.mapInArrow(lean(run), T.StructType(fields))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
+    return flow.mapInArrow(lean(run), _fields(flow, fields, carry))
 
 
 def decode_pieces(ids: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Texts of every row of ``(u, ids)``: ``(u, text)`` and the columns ``carry``; null stays null."""
+    """Texts of every row of ``(u, ids)``: ``(u, text)`` and the columns ``carry``.
+
+    A null list stays null, an empty one is an empty text; an id that the vocabulary does not have, or a null one, is
+    U+FFFD. An empty table gives an empty result. ``carry`` must not name a column made here.
+    """
 
     def run(batches):
         pieces = vocabulary(path)
@@ -234,11 +278,10 @@ def decode_pieces(ids: DataFrame, path: str, carry: tuple[str, ...] = ()) -> Dat
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 column = part["ids"]
-                offsets, values = np.asarray(column.offsets), np.asarray(column.values)
+                offsets, values = np.asarray(column.offsets), np.asarray(column.values.fill_null(-1))
                 valid = column.is_valid().to_pylist()
                 texts = [pieces.decode(values[a:b]) if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid, strict=True)]
                 yield pa.record_batch([part["u"], pa.array(texts, pa.string()), *(part[c] for c in carry)], names=["u", "text", *carry])
 
     flow = ids.select(*dict.fromkeys(["u", "ids", *carry]))
-    fields = [T.StructField("u", flow.schema["u"].dataType), T.StructField("text", T.StringType()), *(flow.schema[c] for c in carry)]
-    return flow.mapInArrow(lean(run), T.StructType(fields))
+    return flow.mapInArrow(lean(run), _fields(flow, [T.StructField("text", T.StringType())], carry))

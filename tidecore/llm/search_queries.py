@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecore.llm.outliers import robust_outliers
+from tidecore.llm.ranked import rank_histories
 from tidecore.llm.registry import query, table
+from tidecore.llm.text_measures import text_measures
 from tidecore.llm.variants import name_variants
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,6 +19,41 @@ def lowered(text: str) -> Column:
     return F.translate(F.col(text), UPPER, LOWER)
 
 
+def terms(text: str) -> Column:
+    """Runs of letters, digits and characters beyond ASCII; empty strings may be among them."""
+    return F.split(lowered(text), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents
+), docs AS (SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0
+), size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs
+), occurs AS (
+  SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM occurs, size GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN occurs USING (term) JOIN weights USING (term), size GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
+
+
+@query("op11_ranked_lexical_search", OP11_SQL)
+def op11(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("u"), terms("text").alias("contacts"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), terms("text").alias("contacts"))
+    return rank_histories(docs, items, k=10).select(F.col("query").alias("item_id"), "rank", F.col("u").alias("doc_id"), "score")
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """Every run of letters of the documents, some of them with a letter left out, as the contract says."""
     run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(F.regexp_extract_all(lowered("text"), F.lit("[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("run"))
@@ -70,3 +108,25 @@ SELECT word, form, root, n, n_near, form_n FROM shaped JOIN roots USING (word)
 @query("op13_spelling_variant_grouping", OP13_SQL)
 def op13(spark, sf_dir) -> DataFrame:
     return name_variants(runs(table(spark, sf_dir, "documents"))).select(F.col("name").alias("word"), "form", "root", "n", "n_near", "form_n")
+
+
+def rated(docs: DataFrame) -> DataFrame:
+    """Counts of every document, whether they fail outright, and, of the others, rates per word and line."""
+    counts = text_measures(docs.select(F.struct("doc_id").alias("doc"), "lang", "source", "text"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rate = lambda part, whole, name: F.when(~F.col("base_failed"), F.col(part) / F.greatest(F.col(whole), F.lit(1))).alias(name)
+    return counts.withColumn("base_failed", failed).select(
+        "*",
+        rate("word_chars", "n_words", "word_length"),
+        rate("n_symbols", "n_words", "symbol_rate"),
+        rate("n_dup_lines", "n_lines", "line_repeats"),
+        rate("n_repeat_words", "n_words", "word_repeats"),
+    )
+
+
+@query("op12_quality_rules")
+def op12(spark, sf_dir) -> DataFrame:
+    rows = rated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = robust_outliers(rows, ["word_length", "symbol_rate", "line_repeats", "word_repeats"], ["lang", "source"])
+    kept = ~F.col("base_failed") & ~F.col("outlier")
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

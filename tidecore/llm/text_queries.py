@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecore.llm.pages import main_texts
 from tidecore.llm.personal import KINDS, personal_spans
-from tidecore.llm.pieces import decode_pieces, encode_pieces
+from tidecore.llm.pieces import encode_pieces
 from tidecore.llm.preferences import format_preferences
 from tidecore.llm.quality import score_quality
 from tidecore.llm.registry import query, table
@@ -142,8 +142,7 @@ def op6(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(texts(table(spark, sf_dir, "documents")), path, carry=("text",))
-    again = decode_pieces(encoded.withColumnRenamed("text", "original"), path, carry=("original", "ids"))
-    return again.select(
-        F.col("u").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_digest"), F.col("text").eqNullSafe(F.col("original")).alias("round_trip")
+    encoded = encode_pieces(texts(table(spark, sf_dir, "documents")), path, carry=("text",), decoded=True)
+    return encoded.select(
+        F.col("u").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_digest"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
     )
