@@ -22,7 +22,7 @@ from tidecore.plans.fixpoint import discard, materialise
 # Share of a group's rows that the estimate is made of; the rest may be arbitrarily bad.
 CORE_SHARE = 0.75
 # Concentration steps from every start, and further ones from the best.
-FIRST_STEPS, MORE_STEPS = 2, 4
+FIRST_STEPS, MORE_STEPS = 2, 2
 # Histograms: bins of one transformed measure per unit, bins of a squared distance per doubling.
 VALUE_BINS, DISTANCE_BINS = 256, 16
 # A deviation this small in a transformed measure is no deviation: it is added to every variance.
@@ -51,7 +51,7 @@ def robust_outliers(vectors: DataFrame, measures: list[str], by: list[str], conf
     An empty table gives an empty result.
 
     The part that an estimate is made of is the smallest set of whole bins of distance that holds
-    ``CORE_SHARE`` of the group. The input is written once to the shared folder.
+    ``CORE_SHARE`` of the group. The input is read once and written to the shared folder.
     """
     taken = {"distance", "outlier"} & set(vectors.columns)
     if taken or not measures:
@@ -60,22 +60,23 @@ def robust_outliers(vectors: DataFrame, measures: list[str], by: list[str], conf
     x = F.array(*(F.asinh(F.col(c).cast("double")) for c in measures))
     fine = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     flow = vectors.withColumn("_x", x).withColumn("_x", F.when(fine, F.col("_x")))
-    rows, _ = materialise(_pooled(flow, by, least_rows))
+    own, _ = materialise(flow)  # whatever made the measures runs once
+    rows, _ = materialise(_pooled(own, by, least_rows))
     used = rows.where("_key is not null and _x is not null").select("_key", "_x")
-    centre = _centres(used, p)
+    centre, _ = materialise(_centres(used, p))
     scores, _ = materialise(used.join(centre, "_key").select("_key", _score("_x").alias("z")))
-    fits, _ = materialise(_starts(scores, p))
+    fits, _ = materialise(_starts(scores, centre, p))
     for _ in range(FIRST_STEPS):
-        fits = _concentrated(scores, fits, p)
+        fits = _concentrated(scores, centre, fits, p)
     fits, _ = materialise(fits.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("volume", "start"))).where("_r = 1").drop("_r"))
     for _ in range(MORE_STEPS):
-        fits = _concentrated(scores, fits, p)
-    fits = _concentrated(scores, fits, p, limit=chi2_quantile(0.975, p))  # all but the outlying rows sharpen the estimate
+        fits = _concentrated(scores, centre, fits, p)
+    fits = _concentrated(scores, centre, fits, p, limit=chi2_quantile(0.975, p))  # all but the outlying rows sharpen the estimate
     final = _scaled(scores, fits, p)
     known = centre.join(final.select("_key", "mean", "inverse", "unit"), "_key")
     square = _square(_score("_x"), F.col("mean"), F.col("inverse"), p) / F.col("unit")
     done = rows.join(known, "_key", "left").select(*vectors.columns, F.sqrt(square).alias("distance"))
-    discard(scores)
+    discard(scores, own)
     return done.withColumn("outlier", F.coalesce(F.col("distance") * F.col("distance") > chi2_quantile(confidence, p), F.lit(False)))
 
 
@@ -142,11 +143,11 @@ def _moments(z: list[Column], p: int) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *(F.avg(z[i]).alias(f"m{i}") for i in range(p)), *(F.avg(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in _pairs(p))]
 
 
-def _fit(sums: DataFrame, keys: list[str], p: int, centred: bool = True) -> DataFrame:
-    """Mean, inverse covariance and the determinant's logarithm from average products."""
+def _fit(sums: DataFrame, centre: DataFrame, keys: list[str], p: int, centred: bool = True) -> DataFrame:
+    """Mean, inverse covariance (with the variance of ``NOISE`` added) and the determinant's logarithm from average products."""
+    sums = sums.join(centre.select("_key", F.transform("spread", lambda s: (NOISE / s) * (NOISE / s)).alias("noise")), "_key")
     m = [F.col(f"m{i}") if centred else F.lit(0.0) for i in range(p)]
-    noise = NOISE * NOISE
-    entry = lambda i, j: F.col(f"s{max(i, j)}_{min(i, j)}") - m[i] * m[j] + (noise if i == j else 0.0)
+    entry = lambda i, j: F.col(f"s{max(i, j)}_{min(i, j)}") - m[i] * m[j] + (F.col("noise")[i] if i == j else F.lit(0.0))
     out = sums.select(*keys, F.array(*m).alias("mean"), F.array(*(F.array(*(entry(i, j) for j in range(p))) for i in range(p))).alias("a"), F.lit(0.0).alias("volume"))
     for k in range(p):  # sweep: the matrix becomes minus its inverse, the pivots' product its determinant
         out = out.withColumn("d", F.greatest(F.col("a")[k][k], F.lit(1e-12)))
@@ -190,7 +191,7 @@ def _distance_counts(squares: DataFrame) -> DataFrame:
     return squares.groupBy("_key", "start", _distance_bin("square").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _starts(scores: DataFrame, p: int) -> DataFrame:
+def _starts(scores: DataFrame, centre: DataFrame, p: int) -> DataFrame:
     """Three first estimates around the medians."""
     z = [F.col("z")[i] for i in range(p)]
     length = F.sqrt(F.greatest(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v), F.lit(1e-12)))
@@ -200,13 +201,13 @@ def _starts(scores: DataFrame, p: int) -> DataFrame:
     fits = []
     for name, values in ((1, square), (2, sign)):
         sums = rows.groupBy("_key").agg(*_moments(values, p))
-        fits.append(_fit(sums.withColumn("start", F.lit(name)), ["_key", "start"], p, centred=False))
+        fits.append(_fit(sums.withColumn("start", F.lit(name)), centre, ["_key", "start"], p, centred=False))
     plain = F.array(*(F.lit(1.0 if i == j else 0.0) for i in range(p) for j in range(p)))
     axes = scores.select("_key").distinct().select("_key", F.lit(0).alias("start"), F.array(*[F.lit(0.0)] * p).alias("mean"), plain.alias("inverse"), F.lit(0.0).alias("volume"))
     return axes.union(fits[0]).union(fits[1])
 
 
-def _concentrated(scores: DataFrame, fits: DataFrame, p: int, limit: float | None = None) -> DataFrame:
+def _concentrated(scores: DataFrame, centre: DataFrame, fits: DataFrame, p: int, limit: float | None = None) -> DataFrame:
     """Estimates anew from the closest rows: ``CORE_SHARE`` of them, or those within ``limit`` of the scaled distance."""
     squares = _squares(scores, fits, p)
     q = _quantile_bins(_distance_counts(squares), ["_key", "start"], [CORE_SHARE])
@@ -215,14 +216,15 @@ def _concentrated(scores: DataFrame, fits: DataFrame, p: int, limit: float | Non
     edges, _ = materialise(q)
     near = squares.join(edges, ["_key", "start"]).where(_distance_bin("square") <= F.col("q0"))
     z = [F.col("z")[i] for i in range(p)]
-    new, _ = materialise(_fit(near.groupBy("_key", "start").agg(*_moments(z, p)), ["_key", "start"], p))
+    new, _ = materialise(_fit(near.groupBy("_key", "start").agg(*_moments(z, p)), centre, ["_key", "start"], p))
     discard(edges, fits)
     return new
 
 
 def _scaled(scores: DataFrame, fits: DataFrame, p: int) -> DataFrame:
-    """Add ``unit``: what a squared distance is divided by so that the core reaches as far as the normal distribution's."""
+    """Add ``unit``: what a squared distance is divided by so that the core reaches no farther than the normal distribution's."""
     q = _quantile_bins(_distance_counts(_squares(scores, fits, p)), ["_key", "start"], [CORE_SHARE])
     reach = F.pow(F.lit(2.0), (F.col("q0") + 1) / DISTANCE_BINS)
-    out, _ = materialise(fits.join(q.select("_key", "start", (reach / chi2_quantile(CORE_SHARE, p)).alias("unit")), ["_key", "start"]))
+    unit = F.greatest(F.lit(1.0), reach / chi2_quantile(CORE_SHARE, p)).alias("unit")
+    out, _ = materialise(fits.join(q.select("_key", "start", unit), ["_key", "start"]))
     return out

@@ -45,13 +45,15 @@ def text_measures(texts: DataFrame) -> DataFrame:
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
     n = F.size("_hashes") - (WINDOW - 1)
-    windows = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice("_hashes", i, F.lit(WINDOW)))))
+    # single elements: slice() copies its whole array every time
+    window = lambda i: F.xxhash64(*(F.get("_hashes", i + j) for j in range(WINDOW)))
+    windows = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), window))
     placed = hashed.withColumn("_windows", windows).drop("_hashes")
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = placed.withColumn("_sorted", F.when(again, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    placed = placed.withColumn("_sorted", F.when(again, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     met = lambda x, j: (x["h"] == F.get("_sorted", j - 1)["h"]) | (x["h"] == F.get("_sorted", j + 1)["h"])
     twice = F.transform(F.filter("_sorted", met), lambda x: x["i"])
-    placed = placed.withColumn("_at", F.array_sort(twice)).drop("_windows", "_sorted")
+    placed = placed.withColumn("_at", F.sort_array(twice)).drop("_windows", "_sorted")
     return placed.select(*kept, *made[:-1], F.coalesce(_covered("_at"), F.lit(0)).cast("long").alias(made[-1]))
 
 
