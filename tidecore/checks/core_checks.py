@@ -11,7 +11,6 @@ from tidecore.checks.base import (
     FROM,
     SLIDE,
     SPAN,
-    START,
     STEP,
     WIDTH,
     check,
@@ -98,14 +97,14 @@ def _(spark, sf):
     query(
         *BINNED,
         """wpairs AS (SELECT DISTINCT CAST(w AS INTEGER) AS window_id, least(src, dst) AS u, greatest(src, dst) AS v
-    FROM binned, range(6) r(w) WHERE src <> dst AND bin >= 40 + w * 10 AND bin < 50 + w * 10)""",
+    FROM binned, range(10) r(w) WHERE src <> dst AND bin >= w * 10 AND bin < 10 + w * 10)""",
         sym_sql("wsym", "wpairs", "window_id"),
         core_sql("wcore", "wsym", 60, "window_id"),
         body="SELECT window_id, u, core FROM wcore",
     ),
 )
 def _(spark, sf):
-    windows = B.window_sequence(cp_binned(spark, sf), START, WIDTH, 10, 6)
+    windows = B.window_sequence(cp_binned(spark, sf), 0, WIDTH, 10, 10)
     return C.windowed_core_numbers(B.window_pairs(windows))
 
 

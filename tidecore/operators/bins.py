@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecore.functions.time import SECONDS_PER_DAY, date_text, epoch_date
@@ -210,6 +210,48 @@ def slide_state(binned: DataFrame, start: int, width: int, step: int = 1) -> Dat
     )
 
 
+def _spans(seen: DataFrame, names: Sequence[str], width: int) -> DataFrame:
+    """``names, enter, leave`` from distinct ``names, bin``: the windows that start in ``[enter, leave)`` hold them.
+
+    Occurrences at most ``width`` bins apart are one span. The ordering window sees the bins of one
+    name, never its edges.
+    """
+    order = Window.partitionBy(*names).orderBy("bin")
+    apart = F.coalesce((F.col("bin") - F.lag("bin").over(order) > width).cast("int"), F.lit(1))
+    runs = seen.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(order))
+    ends = runs.groupBy(*names, "_run").agg((F.min("bin") - width + 1).alias("enter"), (F.max("bin") + 1).alias("leave"))
+    return ends.drop("_run")
+
+
+def pair_spans(binned: DataFrame, width: int) -> DataFrame:
+    """When each pair is in a sliding window of ``width`` bins: ``(u, v, enter, leave)``.
+
+    The windows that start at the bins ``[enter, leave)`` hold the pair. A pair has one row for
+    every stretch without a gap, whatever the number of its edges and of windows.
+    """
+    return _spans(as_pairs(binned, ["bin"]).distinct(), ["u", "v"], width)
+
+
+def vertex_spans(binned: DataFrame, width: int) -> DataFrame:
+    """``pair_spans`` of vertices with an edge to another one: ``(u, enter, leave)``."""
+    ends = as_pairs(binned, ["bin"]).select("bin", F.explode(F.array("u", "v")).alias("u")).distinct()
+    return _spans(ends, ["u"], width)
+
+
+def span_events(spans: DataFrame, start: int, step: int, slides: int) -> DataFrame:
+    """Slides at which spans begin and end: ``(slide, ..., change)`` with ``change`` 1 or -1.
+
+    Slide i brings the window to ``start + i * step``; what the first window (slide 0) holds
+    enters at slide 0. A span that ends where the next one of its name begins is no event.
+    """
+    names = [c for c in spans.columns if c not in ("enter", "leave")]
+    at = lambda c: F.ceil((F.col(c) - F.lit(start)) / F.lit(step)).cast("int")
+    placed = spans.select(*names, F.greatest(at("enter"), F.lit(0)).alias("_in"), at("leave").alias("_out")).where("_in < _out")
+    event = F.explode(F.array(F.struct(F.col("_in").alias("slide"), F.lit(1).alias("n")), F.struct(F.col("_out").alias("slide"), F.lit(-1).alias("n"))))
+    flat = placed.select(*names, event.alias("_e")).select("_e.slide", *names, "_e.n").where(F.col("slide") <= slides)
+    return flat.groupBy("slide", *names).agg(F.sum("n").cast("int").alias("change")).where("change <> 0")
+
+
 def effective_delta(binned: DataFrame, start: int, width: int, step: int = 1) -> DataFrame:
     """Pairs that really leave or enter the simple graph."""
     return (

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecore.operators.graph import symmetrize
+from tidecore.operators.slices import at_ends
 from tidecore.plans.fixpoint import (
     ROUND_LIMIT,
     NotConverged,
@@ -105,16 +106,27 @@ class NeighbourTable:
             .drop("_slices")
         )
 
+    def at_u(self, rows: DataFrame, values: DataFrame, other: str, how: str = "inner") -> DataFrame:
+        """Join rows at their ``u`` with vertex values; a hub's rows are cut by a hash of the column ``other``."""
+        ids = [*self.keys, "u"]
+        if self.slices is None:
+            return rows.join(values, ids, how)
+        hubs = self.slices.withColumnRenamed("v", "u")
+        own = F.pmod(F.xxhash64(other), F.coalesce("_slices", F.lit(1)).cast("long")).cast("int")
+        cut = rows.join(hubs, ids, "left").withColumn("_cut", own).drop("_slices")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+        sent = values.join(hubs, ids, "left").withColumn("_cut", copies).drop("_slices")
+        return cut.join(sent, [*ids, "_cut"], how).drop("_cut")
+
     def restrict(self, active: DataFrame, vertices: int, partitions: int) -> NeighbourTable:
         """The part of this table between ``active`` vertices."""
         part = object.__new__(NeighbourTable)
         part.__dict__.update(self.__dict__)
         part.vertices = vertices
         members = active.select(*self.keys, "u")
+        inside = self.place(partitions).join(self.send(members), self.on, "left_semi")
         part._placed = (
-            self.place(partitions)
-            .join(self.send(members), self.on, "left_semi")
-            .join(members, [*self.keys, "u"], "left_semi")
+            self.at_u(inside, members, "v", "left_semi")
             .repartition(partitions, *self.on)
             .sortWithinPartitions(*self.on)
             .persist()
@@ -172,7 +184,7 @@ def _local_round(
         *table.keys, F.col("v").alias("_centre"), "u"
     )
     counts = (
-        around.join(core, ids)
+        table.at_u(around, core, "_centre")
         .groupBy(*table.keys, F.col("_centre").alias("u"), "core")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -190,10 +202,9 @@ def _weakened(
     """Vertices that counted a changed neighbour before and do not any more."""
     ids = [*table.keys, "u"]
     news = changed.select(*ids, F.col("core").alias("_new"), F.col("old").alias("_old"))
+    beside = edges.join(table.send(news), table.on).select(*ids, "v", "_new", "_old")
     return (
-        edges.join(table.send(news), table.on)
-        .select(*ids, "_new", "_old")
-        .join(core, ids)
+        table.at_u(beside, core, "v")
         .filter((F.col("core") <= F.col("_old")) & (F.col("core") > F.col("_new")))
         .select(*ids)
         .distinct()
@@ -357,9 +368,7 @@ def k_core(pairs: DataFrame, k: int, core: DataFrame | None = None) -> DataFrame
     """Pairs of the k-core: both endpoints have core number >= k."""
     core = core_numbers(pairs) if core is None else core
     inside = k_core_vertices(core, k)
-    return pairs.join(inside.select("u"), "u", "left_semi").join(
-        inside.select(F.col("u").alias("v")), "v", "left_semi"
-    ).select("u", "v")
+    return at_ends(at_ends(pairs.select("u", "v"), inside, "u"), inside, "v")
 
 
 def core_distribution(core: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

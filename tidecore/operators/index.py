@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecore.operators.graph import symmetrize
+from tidecore.operators.slices import SLICE_ROWS, at_ends, hub_slices, join_by_vertex
 from tidecore.plans.fixpoint import (
     ROUND_LIMIT,
     NotConverged,
@@ -24,13 +25,13 @@ from tidecore.plans.scalars import attach
 
 
 def neighbour_counts(
-    pairs: DataFrame, vertices: DataFrame, by: Sequence[str] = ("core",)
+    pairs: DataFrame, vertices: DataFrame, by: Sequence[str] = ("core",), members: DataFrame | None = None
 ) -> DataFrame:
-    """Neighbours per vertex and per value of ``by``: ``(u, n_<by>..., n)``."""
+    """Neighbours per vertex and per value of ``by``: ``(u, n_<by>..., n)``; of ``members`` only, where given."""
     seen = vertices.select(F.col("u").alias("v"), *[F.col(c).alias(f"n_{c}") for c in by])
+    both = symmetrize(pairs) if members is None else at_ends(symmetrize(pairs), members, "u")
     return (
-        symmetrize(pairs)
-        .join(seen, "v")
+        join_by_vertex(both, seen, "v")
         .groupBy("u", *[f"n_{c}" for c in by])
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -41,10 +42,14 @@ def _count_where(condition: Column) -> Column:
 
 
 def neighbour_index(
-    pairs: DataFrame, vertices: DataFrame, by: Sequence[str], **conditions: Column
+    pairs: DataFrame, vertices: DataFrame, by: Sequence[str], members: DataFrame | None = None, **conditions: Column
 ) -> DataFrame:
-    """Columns counting neighbours by conditions over ``core`` and ``n_<by>``."""
-    counts = neighbour_counts(pairs, vertices, by)
+    """Columns counting neighbours by conditions over ``core`` and ``n_<by>``.
+
+    With ``members`` only their edges are counted. Hubs are cut into slices on the neighbours' side and
+    combined per level on the other.
+    """
+    counts = neighbour_counts(pairs, vertices, by, members)
     return (
         vertices.join(counts, "u")
         .groupBy("u", "core")
@@ -78,6 +83,25 @@ def pcd_index(pairs: DataFrame, core: DataFrame) -> DataFrame:
     )
 
 
+def pcd_of(pairs: DataFrame, core: DataFrame, members: DataFrame) -> DataFrame:
+    """PCD of ``members`` only: ``(u, core, pcd)`` from their edges and those of their neighbours."""
+    ends = members.select("u").distinct()
+    near = at_ends(symmetrize(pairs), ends, "v").select("u").distinct()
+    able = neighbour_index(pairs, core, ["core"], near, mcd=higher() | equal())
+    able = able.select("u", "core", (F.col("mcd") > F.col("core")).alias("able"))
+    mine = core.join(ends, "u", "left_semi").select("u", "core", F.lit(False).alias("able"))
+    # a member counts its neighbours; its own flag matters only where it is a neighbour too
+    seen = able.union(mine.join(able.select("u"), "u", "left_anti"))
+    return neighbour_index(pairs, seen, ["core", "able"], ends, pcd=higher() | (equal() & F.col("n_able"))).join(ends, "u", "left_semi")
+
+
+def equal_core_links(pairs: DataFrame, core: DataFrame) -> DataFrame:
+    """Both directions of the edges between vertices of equal core number."""
+    other = core.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
+    level = join_by_vertex(symmetrize(pairs), other, "v")
+    return join_by_vertex(level, core.select("u", "core"), "u").filter(equal()).select("u", "v")
+
+
 def s_index(pairs: DataFrame, core: DataFrame, rounds: int | None = 1) -> DataFrame:
     """Equal-core *qualified* neighbours, as a family of relaxations.
 
@@ -88,16 +112,18 @@ def s_index(pairs: DataFrame, core: DataFrame, rounds: int | None = 1) -> DataFr
     base = neighbour_index(pairs, core, ["core"], r=higher(), s=equal())
     if rounds == 0:
         return base
-    step, total = 0, None
     state, seen = materialise(base, total=F.coalesce(F.sum("s"), F.lit(0)))
-    with loop_settings(pairs.sparkSession, seen["total"] * 2 + 1):
+    # only edges between equals are asked again, and they are found once
+    links, size = materialise(equal_core_links(pairs, core), n=F.count(F.lit(1)))
+    hubs, _ = materialise(hub_slices(links, "v"))
+    step = 0
+    with loop_settings(pairs.sparkSession, size["n"] + 1):
         while rounds is None or step < rounds:
             total = seen["total"]
-            able = (F.col("r") + F.col("s") > F.col("core")).alias("able")
-            flagged = state.select("u", "core", able)
-            counted = neighbour_index(pairs, flagged, ["core", "able"], s=equal() & F.col("n_able"))
+            able = state.where(F.col("r") + F.col("s") > F.col("core"))
+            counted = at_ends(links, able, "v", hubs=hubs).groupBy("u").agg(F.count(F.lit(1)).alias("_s"))
             following, seen = materialise(
-                state.select("u", "core", "r").join(counted.select("u", "s"), "u"),
+                state.join(counted, "u", "left").select("u", "core", "r", F.coalesce("_s", F.lit(0)).cast("long").alias("s")),
                 total=F.coalesce(F.sum("s"), F.lit(0)),
             )
             discard(state)
@@ -107,6 +133,7 @@ def s_index(pairs: DataFrame, core: DataFrame, rounds: int | None = 1) -> DataFr
                 break
             if step > ROUND_LIMIT:
                 raise NotConverged("s index still changed")
+    discard(links, hubs)
     return state
 
 
@@ -172,20 +199,23 @@ def core_levels(core: DataFrame, block: int = 4096) -> DataFrame:
     )
 
 
-def shrink_to_support(candidates: DataFrame, links: DataFrame, size: int) -> DataFrame:
+def shrink_to_support(candidates: DataFrame, links: DataFrame, size: int, link_rows: int | None = None) -> DataFrame:
     """Largest subset whose members keep ``support + linked members > core``.
 
     ``candidates`` is ``(u, core, support)`` with ``size`` rows, where
     ``support`` counts the neighbours that hold in any case; ``links`` holds
     both directions of the edges between candidates. Each round drops members
-    that lost too much.
+    that lost too much. Where there are ``link_rows`` links, too few for a hub, no slices are made.
     """
     alive = candidates
+    if size == 0:
+        return alive
+    small = link_rows is not None and link_rows <= SLICE_ROWS
+    hubs = None if small else materialise(hub_slices(links, "v"))[0]
     for i in range(ROUND_LIMIT):
-        if size == 0:
-            return alive
+        alive_ends = alive.select(F.col("u").alias("v"))
         held = (
-            links.join(alive.select(F.col("u").alias("v")), "v", "left_semi")
+            (links.join(alive_ends, "v", "left_semi") if small else at_ends(links, alive, "v", hubs=hubs))
             .groupBy("u")
             .agg(F.count(F.lit(1)).alias("_held"))
         )
@@ -198,7 +228,8 @@ def shrink_to_support(candidates: DataFrame, links: DataFrame, size: int) -> Dat
         if i:
             discard(alive)
         alive = left
-        if seen["n"] == size:
+        if seen["n"] in (0, size):
+            discard(hubs)
             return alive
         size = seen["n"]
     raise NotConverged("candidate set still shrank")
@@ -211,7 +242,7 @@ def promotable(edges: DataFrame, core: DataFrame) -> DataFrame:
     only the edges among those of equal core number take part in the rounds.
     """
     seen_from = core.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
-    counts = edges.join(seen_from, "v").groupBy("u", "n_core").agg(F.count(F.lit(1)).alias("n"))
+    counts = join_by_vertex(edges, seen_from, "v").groupBy("u", "n_core").agg(F.count(F.lit(1)).alias("n"))
     able, seen = materialise(
         core.join(counts, "u")
         .filter(F.col("n_core") >= F.col("core"))
@@ -222,12 +253,8 @@ def promotable(edges: DataFrame, core: DataFrame) -> DataFrame:
         n=F.count(F.lit(1)),
     )
     near = able.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
-    links, _ = materialise(
-        edges.join(near, "v")
-        .join(able.select("u", "core"), "u")
-        .filter(equal())
-        .select("u", "v")
-    )
+    level = join_by_vertex(edges, near, "v")
+    links, _ = materialise(join_by_vertex(level, able.select("u", "core"), "u").filter(equal()).select("u", "v"))
     rising = shrink_to_support(able, links, seen["n"])
     discard(links)
     return rising.select("u", "core")

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecore.operators.bins import slide_state
+from tidecore.operators.bins import pair_spans, span_events, vertex_spans, window_edges
 from tidecore.operators.components import components
 from tidecore.operators.core import (
     FRONTIER_MIN_ROWS,
@@ -28,13 +28,18 @@ from tidecore.operators.core import (
 from tidecore.operators.graph import symmetrize
 from tidecore.operators.index import (
     equal,
+    equal_core_links,
     higher,
     index_delta,
+    neighbour_counts,
     neighbour_index,
-    pcd_index,
+    pcd_of,
     s_index,
     shrink_to_support,
 )
+from tidecore.operators.overlay import OverlaidGraph
+from tidecore.operators.slices import at_ends, join_by_vertex
+from tidecore.operators.spans import enclosed_core_numbers
 from tidecore.plans.fixpoint import (
     ROUND_LIMIT,
     NotConverged,
@@ -43,6 +48,7 @@ from tidecore.plans.fixpoint import (
     materialise,
 )
 from tidecore.plans.scalars import attach
+from tidecore.session import shared_path
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:
@@ -101,14 +107,24 @@ def update_core(
         discard(state, bound, dirty)
 
 
-def _flagged(pairs: DataFrame, was: bool, out: bool, into: bool) -> DataFrame:
-    return pairs.select(
-        "u",
-        "v",
-        F.lit(was).alias("_was"),
-        F.lit(out).alias("_out"),
-        F.lit(into).alias("_in"),
+def _flagged(pairs: DataFrame, before: bool, after: bool) -> DataFrame:
+    return pairs.select("u", "v", F.lit(before).alias("before"), F.lit(after).alias("after"))
+
+
+def _changes(pairs: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """Pairs with flags ``before`` and ``after`` that the batch names; added wins over removed."""
+    batch = (
+        removed.select("u", "v", F.lit(False).alias("_in"))
+        .union(added.select("u", "v", F.lit(True)))
+        .groupBy("u", "v")
+        .agg(F.max("_in").alias("after"))
     )
+    known = pairs.join(batch, ["u", "v"], "left_semi").select("u", "v").distinct().withColumn("before", F.lit(True))
+    return batch.join(known, ["u", "v"], "left").select("u", "v", F.coalesce("before", F.lit(False)).alias("before"), "after")
+
+
+# A batch of at least this share of the pairs is cheaper to work on all over (see ``advise_ratio``).
+ROUNDS_SHARE = 0.05
 
 
 def core_after_slide(
@@ -116,24 +132,36 @@ def core_after_slide(
     core: DataFrame,
     removed: DataFrame,
     added: DataFrame,
+    method: str | None = None,
     **options,
 ) -> DataFrame:
     """Core numbers of ``(pairs - removed) + added``, from those of ``pairs``.
 
-    Absent removals and repeated additions are no changes.
+    Absent removals and repeated additions are no changes. ``method`` is ``overlay`` (work spreads from the ends of the
+    batch, see :class:`tidecore.operators.overlay.OverlaidGraph`) or ``rounds`` (an upper bound is lowered
+    everywhere, which ``options`` steer); without it large batches take the rounds. Both are exact.
     """
-    state = (
-        _flagged(pairs, True, False, False)
-        .union(_flagged(removed, False, True, False))
-        .union(_flagged(added, False, False, True))
-        .groupBy("u", "v")
-        .agg(F.max("_was").alias("before"), F.max("_out").alias("_out"), F.max("_in").alias("_in"))
-        .select(
-            "u", "v", "before", ((F.col("before") & ~F.col("_out")) | F.col("_in")).alias("after")
-        )
-        .filter(F.col("before") | F.col("after"))
+    state, seen = materialise(
+        _changes(pairs, removed, added).where("before <> after"),
+        out=F.count_if("before"),
+        into=F.count_if("after"),
     )
-    return update_core(state, core, **options)
+    left, entered = state.where("before").select("u", "v"), state.where("after").select("u", "v")
+    graph = None
+    try:
+        if method is None and not options:
+            graph = OverlaidGraph(pairs, core, place=False)
+            method = "overlay" if 2 * (seen["out"] + seen["into"]) < ROUNDS_SHARE * graph.rows else "rounds"
+        if method == "overlay":
+            graph = OverlaidGraph(pairs, core, place=False) if graph is None else graph
+            graph.slide(left, entered)
+            return materialise(graph.core())[0]
+        flagged = _flagged(pairs, True, True).join(left, ["u", "v"], "left_anti")
+        return update_core(flagged.union(_flagged(left, True, False)).union(_flagged(entered, False, True)), core, **options)
+    finally:
+        if graph is not None:
+            graph.close()
+        discard(state)
 
 
 def core_after_removals(
@@ -162,6 +190,78 @@ def slide_counts(state: DataFrame) -> DataFrame:
     ).transform(attach, state.agg(F.count_if(changed).alias("batch")))
 
 
+def slide_table(binned: DataFrame, start: int, width: int, step: int = 1, slides: int = 10) -> DataFrame:
+    """What refresh advice looks at, for every slide, from one pass over the edges.
+
+    ``slide`` (from 1), ``n`` vertices and ``m`` pairs of the window before it, ``batch`` pairs that change and
+    ``touched`` vertices at their ends. No window is formed: pairs and vertices enter and leave.
+    """
+    pairs, _ = materialise(span_events(pair_spans(window_edges(binned, start, width + slides * step), width), start, step, slides))
+    vertices = span_events(vertex_spans(window_edges(binned, start, width + slides * step), width), start, step, slides)
+    ends = pairs.select("slide", F.explode(F.array("u", "v")).alias("u"))
+    counts = (
+        pairs.groupBy("slide").agg(F.sum("change").alias("m"), F.count(F.lit(1)).alias("batch"))
+        .join(ends.groupBy("slide").agg(F.count_distinct("u").alias("touched")), "slide")
+        .join(vertices.groupBy("slide").agg(F.sum("change").alias("n")), "slide", "left")
+    )
+    every = binned.sparkSession.range(slides + 1).select(F.col("id").cast("int").alias("slide"))
+    # one row per slide
+    sofar = Window.orderBy("slide").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(sofar), F.lit(0)).cast("long").alias(c)
+    whole = every.join(counts, "slide", "left").select("slide", total("n"), total("m"), F.coalesce("batch", F.lit(0)).alias("batch"), F.coalesce("touched", F.lit(0)).alias("touched"))
+    return whole.where("slide > 0")
+
+
+class MaintainedWindows:
+    """Core numbers of consecutive windows: those of the first one and what every slide changed.
+
+    Edges are read once: pairs become spans of windows, and a slide reads its own events. The graph of the present
+    window is an :class:`tidecore.operators.overlay.OverlaidGraph`; ``strategy`` as in ``maintain_windows``.
+    """
+
+    def __init__(self, binned: DataFrame, start: int, width: int, step: int = 1, slides: int = 3, indexes: bool = False):
+        spark = binned.sparkSession
+        self.start, self.width, self.step = start, width, step
+        last = binned.agg(F.max("bin")).first()[0]
+        self.slides = 0 if last is None else max(0, min(slides, (last - (start + width) + 1) // step))
+        spans = pair_spans(window_edges(binned, start, width + self.slides * step), width)
+        path = shared_path(spark, "events")
+        span_events(spans, start, step, self.slides).write.partitionBy("slide").parquet(path)
+        self.events = spark.read.schema("u long, v long, change int, slide int").parquet(path)
+        self.graph = OverlaidGraph(self._at(0, 1), indexes=indexes)
+        self.first, seen = materialise(self.graph.core(), n=F.count(F.lit(1)))
+        self.first_index = materialise(self.graph.index())[0] if indexes else None
+        self.changes: list[DataFrame] = []
+
+    def _at(self, slide: int, change: int) -> DataFrame:
+        return self.events.where((F.col("slide") == slide) & (F.col("change") == change)).select("u", "v")
+
+    def run(self, strategy: Callable | None = None, sizes: DataFrame | None = None) -> None:
+        """All slides; ``sizes`` is the ``slide_table`` that ``strategy`` decides by."""
+        update = {}
+        if strategy is not None:
+            rule = strategy(F.col("n"), F.col("m"), F.col("batch"), F.col("touched"))
+            update = {r["slide"]: r["update"] for r in sizes.select("slide", rule.alias("update")).collect()}  # a row per slide
+        for i in range(1, self.slides + 1):
+            work = self.graph.slide if update.get(i, True) else self.graph.recompute
+            self.changes.append(work(self._at(i, -1), self._at(i, 1)))
+
+    def core(self, slide: int) -> DataFrame:
+        """``(u, core)`` after a slide: the first window's, overlaid with the last change of each vertex."""
+        if slide == 0 or not self.changes:
+            return self.first
+        numbered = [t.select("u", "core", F.lit(i).alias("_i")) for i, t in enumerate(self.changes[:slide])]
+        whole = numbered[0]
+        for t in numbered[1:]:
+            whole = whole.union(t)
+        latest = whole.groupBy("u").agg(F.max_by("core", "_i").alias("core"))
+        return self.first.join(latest.select("u"), "u", "left_anti").union(latest.where("core > 0"))
+
+
+# Windows whose core numbers are found together.
+TOGETHER = 64
+
+
 def maintain_windows(
     binned: DataFrame,
     start: int,
@@ -172,33 +272,67 @@ def maintain_windows(
 ) -> list[tuple[int, DataFrame]]:
     """Core numbers after each of ``slides`` consecutive slides.
 
-    Every slide starts from the result of the one before. ``strategy`` is a
-    column rule of :mod:`tidecore.operators.advise` (such as ``advise_ratio``);
-    where it prefers recomputation the window is computed afresh. Slides end
-    with the last bin.
+    The slides of a table at rest are worked on together, ``TOGETHER`` at a time: the pairs that all their
+    windows share and the pairs that any of them holds enclose the core numbers, and only vertices between the two bounds
+    are looked at window by window (:func:`tidecore.operators.spans.enclosed_core_numbers`). With ``strategy``, a
+    column rule of :mod:`tidecore.operators.advise` (such as ``advise_ratio``), every slide starts
+    from the result of the one before (:class:`MaintainedWindows`), and where the rule prefers recomputation the window
+    is computed afresh. Slides end with the last bin.
     """
+    if strategy is not None:
+        windows = MaintainedWindows(binned, start, width, step, slides)
+        windows.run(strategy, slide_table(binned, start, width, step, slides))
+        windows.graph.close()
+        return [(i, windows.core(i)) for i in range(1, windows.slides + 1)]
     last = binned.agg(F.max("bin")).first()[0]
-    first = slide_state(binned, start, width, 0).filter("after").select("u", "v")
-    core = core_numbers(first)
+    fits = 0 if last is None else max(0, min(slides, (last - (start + width) + 1) // step))
+    if not fits:
+        return []
+    spans, _ = materialise(window_spans(binned, start + step, width, step, fits))
     results = []
-    for i in range(slides):
-        begin = start + i * step
-        if last is None or begin + width + step - 1 > last:
-            break
-        state = slide_state(binned, begin, width, step)
-        update = True
-        if strategy is not None:
-            rule = strategy(F.col("n"), F.col("m"), F.col("batch"), F.col("touched"))
-            update = bool(slide_counts(state).select(rule).first()[0])
-        core = (
-            update_core(state, core)
-            if update
-            else core_numbers(state.filter("after").select("u", "v"))
-        )
-        results.append((i + 1, core))
+    for low in range(0, fits, TOGETHER):
+        count = min(TOGETHER, fits - low)
+        near = spans.where((F.col("first") < low + count) & (F.col("end") > low))
+        own = near.select("u", "v", F.greatest(F.col("first") - low, F.lit(0)).alias("first"), F.least(F.col("end") - low, F.lit(count)).alias("end"))
+        settled, others, _ = enclosed_core_numbers(own, count)
+        for k in range(count):
+            results.append((low + k + 1, settled.union(others.where(F.col("window") == k).select("u", "core"))))
+    discard(spans)
     return results
 
 
+def window_spans(binned: DataFrame, start: int, width: int, step: int, windows: int) -> DataFrame:
+    """Pairs of the windows that start at ``start + i * step``: ``(u, v, first, end)``, in the windows ``[first, end)``."""
+    spans = pair_spans(window_edges(binned, start, width + (windows - 1) * step), width)
+    at = lambda c: F.ceil((F.col(c) - F.lit(start)) / F.lit(step)).cast("int")
+    placed = spans.select("u", "v", F.greatest(at("enter"), F.lit(0)).alias("first"), F.least(at("leave"), F.lit(windows)).alias("end"))
+    return placed.where("first < end")
+
+
+def maintain_indexes(binned: DataFrame, start: int, width: int, step: int = 1, slides: int = 3) -> DataFrame:
+    """r, MCD and PCD of the last window, kept up to date along with the core numbers: ``(u, core, r, mcd, pcd)``."""
+    windows = MaintainedWindows(binned, start, width, step, slides, indexes=True)
+    windows.run()
+    found = materialise(windows.graph.index())[0]
+    windows.graph.close()
+    return found
+
+
+def slide_impact(binned: DataFrame, start: int, width: int, step: int = 1, slides: int = 3) -> DataFrame:
+    """Per slide: core numbers ``affected``, vertices ``visited`` and adjacency rows ``traversed``, counted while maintaining."""
+    windows = MaintainedWindows(binned, start, width, step, slides)
+    windows.run()
+    rows = None
+    for i, moved in enumerate(windows.changes, 1):
+        row = moved.agg(F.lit(i).alias("batch"), F.count(F.lit(1)).alias("affected"))
+        rows = row if rows is None else rows.union(row)
+    if rows is None:
+        raise ValueError("no slide fits into the bins")
+    found = rows.join(windows.graph.impact(), "batch").select(F.col("batch").alias("slide"), "affected", "visited", "traversed")
+    windows.graph.close()
+    return found
+
+
 def slide_results(results: list[tuple[int, DataFrame]]) -> DataFrame:
     """The results of all slides as one table ``(slide, u, core)``."""
     tables = [core.select(F.lit(i).alias("slide"), "u", "core") for i, core in results]
@@ -244,11 +378,11 @@ def impact_neighborhood(
     to the neighbours' neighbours of equal core number."""
     both = symmetrize(pairs)
     start = vertices.select("u")
-    around = both.join(start.withColumnRenamed("u", "v"), "v", "left_semi").select("u").distinct()
+    around = at_ends(both, start, "v").select("u").distinct()
     found = start.union(around)
     if core is not None:
         level = around.join(core, "u").select(F.col("u").alias("v"), F.col("core").alias("n_core"))
-        further = both.join(level, "v").join(core, "u").filter(equal()).select("u")
+        further = join_by_vertex(join_by_vertex(both, level, "v"), core.select("u", "core"), "u").filter(equal()).select("u")
         found = found.union(further)
     return found.distinct()
 
@@ -258,8 +392,7 @@ def insertion_candidates(pairs: DataFrame, core: DataFrame, batch: DataFrame) ->
 
     ``pairs`` already holds the batch, ``core`` is the one before it.
     """
-    able = pcd_index(pairs, core).filter(F.col("pcd") > F.col("core"))
-    return able.join(_lower_ends(batch, core), "u", "left_semi")
+    return pcd_of(pairs, core, _lower_ends(batch, core)).filter(F.col("pcd") > F.col("core"))
 
 
 def removal_seeds_by_level(core: DataFrame, batch: DataFrame, block: int = 4096) -> DataFrame:
@@ -279,40 +412,46 @@ def removals_by_level(core: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def equal_core_links(pairs: DataFrame, core: DataFrame) -> DataFrame:
-    """Both directions of the edges between vertices of equal core number."""
-    other = core.select(F.col("u").alias("v"), F.col("core").alias("n_core"))
-    return symmetrize(pairs).join(other, "v").join(core, "u").filter(equal()).select("u", "v")
+# Hops whose vertices are kept as tables of their own before they are merged into one.
+MERGE_HOPS = 8
 
 
 def subcore(pairs: DataFrame, core: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Vertices reachable from ``seeds`` through vertices of the seed's core number."""
+    """Vertices reachable from ``seeds`` through vertices of the seed's core number.
+
+    A hop writes only the vertices it reaches first; those of earlier hops are left out by anti-joins
+    and merged now and then, so a vertex is written a few times, whatever the number of hops.
+    """
     spark = pairs.sparkSession
     links, sizes = materialise(equal_core_links(pairs, core), n=F.count(F.lit(1)))
     with loop_settings(spark, sizes["n"]):
-        reached, seen = materialise(
-            core.join(seeds.select("u").distinct(), "u", "left_semi"), n=F.count(F.lit(1))
-        )
-        edge, own = reached, False
+        edge, seen = materialise(core.join(seeds.select("u").distinct(), "u", "left_semi"), n=F.count(F.lit(1)))
+        reached = [edge]
         while seen["n"]:
-            near = links.join(edge.select(F.col("u").alias("v")), "v", "left_semi").select("u")
-            fresh, seen = materialise(
-                core.join(near.distinct(), "u", "left_semi").join(reached, "u", "left_anti"),
-                n=F.count(F.lit(1)),
-            )
-            grown, _ = materialise(reached.union(fresh))
-            if own:
-                discard(edge)
-            discard(reached)
-            reached, edge, own = grown, fresh, True
-        discard(links)
-        return reached
+            near = at_ends(links, edge, "v").select("u").distinct()
+            for table in reached:
+                near = near.join(table.select("u"), "u", "left_anti")
+            edge, seen = materialise(core.join(near, "u", "left_semi"), n=F.count(F.lit(1)))
+            reached.append(edge)
+            if len(reached) > MERGE_HOPS:
+                merged, _ = materialise(_union(reached[:-1]))
+                discard(*reached[:-1])
+                reached = [merged, edge]
+        whole, _ = materialise(_union(reached))
+        discard(links, *reached)
+        return whole
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.union(table)
+    return whole
 
 
 def effective_degree(pairs: DataFrame, core: DataFrame, members: DataFrame) -> DataFrame:
     """For ``members``: neighbours with at least the member's core number."""
-    found = neighbour_index(pairs, core, ["core"], effective_degree=higher() | equal())
-    return members.select("u").distinct().join(found, "u")
+    return neighbour_index(pairs, core, ["core"], members, effective_degree=higher() | equal())
 
 
 def _level_support(pairs: DataFrame, core: DataFrame, members: DataFrame) -> tuple:
@@ -325,50 +464,45 @@ def _level_support(pairs: DataFrame, core: DataFrame, members: DataFrame) -> tup
         "u", "core", F.coalesce("member", F.lit(False)).alias("member")
     )
     firm = higher() | (equal() & ~F.col("n_member"))
-    support = neighbour_index(pairs, marked, ["core", "member"], support=firm)
-    links = equal_core_links(pairs, core.join(inside, "u", "left_semi"))
-    return support.join(inside.select("u"), "u", "left_semi"), links
+    support = neighbour_index(pairs, marked, ["core", "member"], inside, support=firm)
+    return support, equal_core_links(pairs, core.join(inside, "u", "left_semi"))
 
 
 def demotion_cascade(pairs: DataFrame, core: DataFrame, members: DataFrame) -> DataFrame:
     """Members that fall: repeatedly drop those with fewer than core supporting neighbours."""
-    with loop_settings(pairs.sparkSession, pairs.count()):
-        support, links = _level_support(pairs, core, members)
-        links, _ = materialise(links)
-        # keep when support + held >= core, that is > core - 1
-        bound, seen = materialise(
-            support.select("u", (F.col("core") - 1).alias("core"), "support"), n=F.count(F.lit(1))
-        )
-        staying = shrink_to_support(bound, links, seen["n"])
+    support, links = _level_support(pairs, core, members)
+    links, size = materialise(links, n=F.count(F.lit(1)))
+    # keep when support + held >= core, that is > core - 1
+    bound, seen = materialise(
+        support.select("u", (F.col("core") - 1).alias("core"), "support"), n=F.count(F.lit(1))
+    )
+    with loop_settings(pairs.sparkSession, size["n"] + seen["n"]):
+        staying = shrink_to_support(bound, links, seen["n"], size["n"])
         fallen, _ = materialise(
             core.join(members.select("u").distinct(), "u", "left_semi").join(
                 staying, "u", "left_anti"
             )
         )
-        discard(links, staying)
-        return fallen
+    discard(links, bound, staying)
+    return fallen
 
 
 def promotion_eviction(pairs: DataFrame, core: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates that rise: repeatedly evict those with at most core candidate or higher neighbours."""
     inside = candidates.select("u").distinct()
-    with loop_settings(pairs.sparkSession, pairs.count()):
-        support = neighbour_index(pairs, core, ["core"], support=higher())
-        links, _ = materialise(equal_core_links(pairs, core.join(inside, "u", "left_semi")))
-        start, seen = materialise(support.join(inside, "u", "left_semi"), n=F.count(F.lit(1)))
-        rising = shrink_to_support(start, links, seen["n"])
-        discard(links)
-        return rising.select("u", "core")
+    links, size = materialise(equal_core_links(pairs, core.join(inside, "u", "left_semi")), n=F.count(F.lit(1)))
+    start, seen = materialise(neighbour_index(pairs, core, ["core"], inside, support=higher()), n=F.count(F.lit(1)))
+    with loop_settings(pairs.sparkSession, size["n"] + seen["n"]):
+        rising = shrink_to_support(start, links, seen["n"], size["n"])
+    discard(links)
+    return rising.select("u", "core")
 
 
 def core1_to_2_candidates(pairs: DataFrame, core: DataFrame, candidates: DataFrame) -> DataFrame:
     """Core-1 candidates with at least two neighbours of core >= 1."""
-    found = neighbour_index(pairs, core, ["core"], neighbours=F.col("n_core") >= 1)
-    return (
-        candidates.select("u").distinct().join(found, "u")
-        .filter((F.col("core") == 1) & (F.col("neighbours") >= 2))
-        .select("u", "neighbours")
-    )
+    level = core.filter(F.col("core") == 1).join(candidates.select("u").distinct(), "u", "left_semi")
+    found = neighbour_index(pairs, core, ["core"], level, neighbours=F.col("n_core") >= 1)
+    return found.filter(F.col("neighbours") >= 2).select("u", "neighbours")
 
 
 def frontier_propagation(
@@ -381,39 +515,42 @@ def frontier_propagation(
     settled once visited. Returns all of ``core`` as ``(u, core, s)``. Without
     ``rounds`` it goes on until nothing changes.
     """
-    known = neighbour_index(pairs, core, ["core"], r=higher(), degree=F.lit(True))
-    able = known.select("u", "core", (F.col("r") + F.col("degree") > F.col("core")).alias("able"))
-    fresh_s = neighbour_index(pairs, able, ["core", "able"], fresh=equal() & F.col("n_able"))
-    with loop_settings(pairs.sparkSession, pairs.count()):
-        links, _ = materialise(equal_core_links(pairs, core))
+    # one pass over the edges gives what all conditions need: neighbours per level
+    levels, size = materialise(neighbour_counts(pairs, core), n=F.coalesce(F.sum("n"), F.lit(0)))
+    known = core.join(levels, "u").groupBy("u", "core").agg(F.sum(F.when(higher(), F.col("n")).otherwise(0)).alias("r"), F.sum("n").alias("degree"))
+    able, _ = materialise(known.select("u", "core", (F.col("r") + F.col("degree") > F.col("core")).alias("able")))
+    links, _ = materialise(equal_core_links(pairs, core))
+    counted = at_ends(links, able.where("able"), "v").groupBy("u").agg(F.count(F.lit(1)).alias("fresh"))
+    with loop_settings(pairs.sparkSession, size["n"]):
         state, _ = materialise(
             core.join(index.select("u", "s"), "u", "left")
-            .join(fresh_s.select("u", "fresh"), "u", "left")
+            .join(counted, "u", "left")
             .select("u", "core", F.coalesce("s", F.lit(0)).cast("long").alias("s"),
-                    F.coalesce("fresh", F.lit(0)).alias("fresh"))
+                    F.coalesce("fresh", F.lit(0)).cast("long").alias("fresh"))
         )
+        changing, _ = materialise(state.where("s <> fresh").select("u"))
+        moved: list[DataFrame] = []
         frontier = seeds.select("u").distinct()
         for _ in range(ROUND_LIMIT if rounds is None else rounds):
-            moving, seen = materialise(
-                state.join(frontier, "u", "left_semi").filter(F.col("s") != F.col("fresh")),
-                n=F.count(F.lit(1)),
-            )
+            # who moved is settled: each vertex is written once
+            front = changing.join(frontier, "u", "left_semi")
+            for table in moved:
+                front = front.join(table, "u", "left_anti")
+            moving, seen = materialise(front, n=F.count(F.lit(1)))
+            moved.append(moving)
             if seen["n"] == 0:
                 break
-            mark = moving.select("u", F.lit(True).alias("_moved"))
-            following, _ = materialise(
-                state.join(mark, "u", "left").select(
-                    "u", "core", F.when(F.col("_moved"), F.col("fresh")).otherwise(F.col("s")).alias("s"),
-                    "fresh",
-                )
-            )
-            frontier = (
-                links.join(moving.select(F.col("u").alias("v")), "v", "left_semi").select("u").distinct()
-            )
-            discard(state)
-            state = following
-        discard(links)
-        return state.select("u", "core", "s")
+            if len(moved) > MERGE_HOPS:
+                merged, _ = materialise(_union(moved[:-1]))
+                discard(*moved[:-1])
+                moved = [merged, moving]
+            frontier = at_ends(links, moving, "v").select("u").distinct()
+        settled = _union(moved).withColumn("_moved", F.lit(True)) if moved else changing.limit(0).withColumn("_moved", F.lit(True))
+        found, _ = materialise(
+            state.join(settled, "u", "left").select("u", "core", F.when(F.col("_moved"), F.col("fresh")).otherwise(F.col("s")).alias("s"))
+        )
+        discard(levels, able, links, state, changing, *moved)
+        return found
 
 
 def connected_labels(pairs: DataFrame) -> DataFrame:
@@ -473,12 +610,7 @@ def one_round_core_estimate(pairs: DataFrame, core: DataFrame, delta: DataFrame)
         .union(fresh.select("u", F.lit(1).cast("int").alias("core")))
         .join(endpoints(after), "u", "left_semi")
     )
-    strong = (
-        pcd_index(after, seeded)
-        .filter(F.col("pcd") > F.col("core"))
-        .join(endpoints(added), "u", "left_semi")
-        .select("u", F.lit(1).alias("_move"))
-    )
+    strong = pcd_of(after, seeded, endpoints(added)).filter(F.col("pcd") > F.col("core")).select("u", F.lit(1).alias("_move"))
     return seeded.join(strong, "u", "left").select(
         "u", (F.col("core") + F.coalesce("_move", F.lit(0))).cast("int").alias("core")
     )

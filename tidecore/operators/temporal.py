@@ -6,27 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecore.functions.time import SECONDS_PER_DAY, date_text, epoch_date
-from tidecore.operators.bins import calendar_windows, window_pairs
-from tidecore.operators.core import core_numbers, max_core_summary
-from tidecore.plans.scalars import attach
+from tidecore.operators.bins import pair_spans
+from tidecore.operators.core import max_core_summary
+from tidecore.operators.spans import GROUP_POINTS, block_groups, cut_pieces, span_core_numbers
+from tidecore.plans.fixpoint import discard, materialise
 
 
 def core_timeline(
-    edges: DataFrame, days: int = 7, slide: int = 1, with_first: bool = False, **options
+    edges: DataFrame, days: int = 7, slide: int = 1, with_first: bool = False, group_points: int = GROUP_POINTS
 ) -> DataFrame:
     """Largest core and its vertex count per sliding window, dated by its last day.
 
-    All windows share the rounds of one core computation. ``with_first`` keeps
-    the initial window, the predecessor of the first reported one.
+    A pair is stored once for every stretch of windows that hold it (``pair_spans``), cut at every ``BLOCK``
+    windows (see :mod:`tidecore.operators.spans`), and never once per window: about two pieces per stretch and direction. Windows are swept in groups of at most
+    ``group_points`` pairs times windows; those of a group share the rounds. ``with_first`` keeps
+    the initial window, the predecessor of the first reported one. No edges, no rows.
     """
-    windows = window_pairs(calendar_windows(edges, days, slide), "day")
-    summary = max_core_summary(core_numbers(windows, keys=["day"], **options), ["day"])
-    begin = edges.agg(F.min("ts").alias("_lo"))
-    dated = summary.transform(attach, begin).select(
-        date_text(epoch_date(F.col("_lo") + F.col("day") * SECONDS_PER_DAY)).alias("date"),
-        "day",
-        "max_core",
-        "vertices_in_max_core",
+    spark = edges.sparkSession
+    lo, hi = edges.agg(F.min("ts"), F.max("ts")).first()
+    found = spark.createDataFrame([], "day int, max_core int, vertices_in_max_core long")
+    if lo is not None:
+        last = (hi - lo) // SECONDS_PER_DAY - 1
+        count = 1 + max(0, (last - days) // slide + 1)
+        # window 0 ends with day days - 1, window k with day days + (k - 1) * slide
+        at = lambda day: F.when(day <= days - 1, 0).otherwise(F.ceil((day - days) / F.lit(slide)) + 1).cast("int")
+        daily = edges.select("src", "dst", F.floor((F.col("ts") - F.lit(lo)) / SECONDS_PER_DAY).cast("int").alias("bin"))
+        spans = pair_spans(daily, days).select("u", "v", at(F.col("enter") + days - 1).alias("first"), F.least(at(F.col("leave") + days - 1), F.lit(count)).alias("end"))
+        spans, _ = materialise(spans.where("first < end"))
+        for low, high in block_groups(spans, group_points):
+            part = span_core_numbers(cut_pieces(spans, low, high))
+            top, _ = materialise(max_core_summary(part, ["window"]))
+            discard(part)
+            day = F.when(F.col("window") == 0, days - 1).otherwise(F.lit(days) + (F.col("window") - 1) * slide).cast("int")
+            found = found.union(top.select(day.alias("day"), "max_core", "vertices_in_max_core"))
+        discard(spans)
+    dated = found.select(
+        date_text(epoch_date(F.lit(lo or 0) + F.col("day") * SECONDS_PER_DAY)).alias("date"), "day", "max_core", "vertices_in_max_core"
     )
     return dated if with_first else dated.filter(F.col("day") >= days)
 
