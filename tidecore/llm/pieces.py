@@ -175,29 +175,74 @@ class Merges(Pieces):
         super().__init__(path)
         self.names = {i: piece for piece, (i, _) in self.ids.items()}
         self.apart = Recent(PAIRS)
+        # every end of a piece, with the id where it is a piece itself
+        self.tails: dict[str, int] = {p[k:]: -1 for p in self.ids for k in range(1, len(p))}
+        self.tails.update((p, i) for p, (i, _) in self.ids.items())
+
+    def viterbi(self, marked: str) -> list[int]:
+        if len(marked) >= 2 * self.longest:
+            return super().viterbi(marked)
+        # a word that lies in the window whole: the same search, written out, without boundaries to commit
+        n, tails, young = len(marked), self.tails, self.apart.young
+        names, back = [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            start = end
+            while start:
+                start -= 1
+                name = tails.get(marked[start:end])
+                if name is None:
+                    start = 0
+                elif name >= 0:
+                    before = names[start]
+                    found = young.get((before, name))
+                    if found or found is None and (before < 0 and start + 1 == end or self.stays(before, name)):
+                        names[end], back[end] = name, start
+                        break
+            else:
+                back[end] = end - 1
+        out: list[int] = []
+        while n:
+            if names[n] < 0:
+                out += reversed(self.fallback(marked[n - 1]))
+            else:
+                out.append(names[n])
+            n = back[n]
+        out.reverse()
+        return out
 
     def step(self, best: dict, marked: str, first: int, end: int) -> tuple[float, int, int]:
         """The one state at ``end`` whose last piece is right beside the one before it."""
-        ids = self.ids
-        for start in range(first, end):
-            piece = ids.get(marked[start:end])
-            if piece is not None:
-                name, before = piece[0], best[start][2]
-                # the characters before a committed boundary are known to stay apart; unknown ones never merge
-                if before < 0 and start + 1 == end or self.stays(before, name):
-                    return 0.0, start, name
-        return 0.0, end - 1, -1
+        start, name = self.last(marked, end, first, [best[i][2] for i in range(first, end)], first)
+        return 0.0, start, name
+
+    def last(self, marked: str, end: int, first: int, names: list[int], base: int) -> tuple[int, int]:
+        """Where the last piece of ``marked[:end]`` starts, and its id; ``names`` are the last ids at the places from ``base``."""
+        tails, young = self.tails, self.apart.young
+        for start in range(end - 1, first - 1, -1):
+            name = tails.get(marked[start:end])
+            if name is None:
+                break
+            if name >= 0:
+                before = names[start - base]
+                # one character after none or after an unknown one, which never merges, is right
+                if before < 0 and start + 1 == end:
+                    found = True
+                else:
+                    found = young.get((before, name))
+                    if found is None:
+                        found = self.stays(before, name)
+                if found:
+                    return start, name
+        return end - 1, -1
 
     def stays(self, before: int, name: int) -> bool:
         """Whether two pieces (or a piece after none, -1) come out of merging their characters."""
         key = (before, name)
-        found = self.apart.young.get(key)
+        found = self.apart.get(key)
         if found is None:
-            found = self.apart.get(key)
-            if found is None:
-                pieces = [self.names[name]] if before < 0 else [self.names[before], self.names[name]]
-                found = self.merged("".join(pieces)) == pieces
-                self.apart.put(key, found)
+            pieces = [self.names[name]] if before < 0 else [self.names[before], self.names[name]]
+            found = self.merged("".join(pieces)) == pieces
+            self.apart.put(key, found)
         return found
 
     def merged(self, text: str) -> list[str]:
