@@ -70,7 +70,7 @@ def test_samples(spark):
 
 
 def test_samples_above_the_top_k(spark):
-    n = B.TOP_K_ROWS + 500
+    n = 2500
     key = lambda *x: hashlib.md5(",".join(map(str, [*x, 42])).encode()).hexdigest()
     pairs = [(i, i + 1 + i % 7) for i in range(6000)]
     got = {tuple(r) for r in X.sample_existing_edges(pairs_df(spark, pairs), n).collect()}

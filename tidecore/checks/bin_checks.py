@@ -192,6 +192,18 @@ def _(spark, sf):
     return B.slide_delta(cp_binned(spark, sf), START, WIDTH, 3)
 
 
+@check(
+    "slide_delta_of",
+    query(
+        *BINNED,
+        body="""SELECT *, 'remove' AS change FROM binned WHERE bin >= 40 AND bin < 43
+UNION ALL SELECT *, 'add' FROM binned WHERE bin >= 50 AND bin < 53""",
+    ),
+)
+def _(spark, sf):
+    return B.slide_delta_of(customer_part_edges(spark, sf), BINS, START, WIDTH, 3)
+
+
 EV_BINNED = (EV, binned_sql(30))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidecore.functions.time import SECONDS_PER_DAY, date_text, epoch_date
 from tidecore.operators.graph import as_pairs
+from tidecore.plans.fixpoint import materialise
 from tidecore.plans.ordering import with_position
 from tidecore.plans.scalars import attach
 
@@ -48,22 +49,31 @@ def bin_equal_width(edges: DataFrame, bins: int) -> DataFrame:
     )
 
 
+def _edges_of_ranges(edges: DataFrame, bins: int, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """``bin_equal_width`` for some ranges ``(start, width)`` of bins; the time range is read once."""
+    lo, hi = edges.agg(F.min("ts"), F.max("ts")).first()
+    inside = [(max(start, 0), min(start + width, bins)) for start, width in ranges]
+    inside = [(first, last) for first, last in inside if first < last]
+    binned = edges.limit(0) if lo is None or not inside else edges
+    lo, hi = lo or 0, hi or 0
+    size = float(hi - lo + 1) / bins
+    near, exact = F.lit(False), F.lit(False)
+    for first, last in inside:
+        # one second of slack at both ends: the bin decides
+        near |= (F.col("ts") >= lo + int(first * size) - 1) & (F.col("ts") <= lo + int(last * size) + 1)
+        exact |= (F.col("bin") >= first) & (F.col("bin") < last)
+    return binned.filter(near).withColumn("bin", _clamped((F.col("ts") - F.lit(lo)) / F.lit(size), bins)).filter(exact)
+
+
 def edges_of_bins(edges: DataFrame, bins: int, start: int, width: int) -> DataFrame:
     """``bin_equal_width`` for the bins ``[start, start + width)`` only.
 
     The bounds of the time range are read first (one row), so that the bins become a
     range of ``ts`` with constant ends, which reaches a Parquet scan. An empty table or
-    range of bins gives no edges.
+    range of bins gives no edges. With ``width + step`` bins it feeds ``effective_delta``, with one bin more than a window's
+    ``append_window``, and with all bins from a start on ``batch_from_bins``.
     """
-    lo, hi = edges.agg(F.min("ts"), F.max("ts")).first()
-    first, last = max(start, 0), min(start + width, bins)
-    binned = edges.limit(0) if lo is None or first >= last else edges
-    lo, hi = lo or 0, hi or 0
-    size = float(hi - lo + 1) / bins
-    value = (F.col("ts") - F.lit(lo)) / F.lit(size)
-    # one second of slack at both ends: the bin decides
-    near = binned.filter((F.col("ts") >= lo + int(first * size) - 1) & (F.col("ts") <= lo + int(last * size) + 1))
-    return near.withColumn("bin", _clamped(value, bins)).transform(window_edges, start, width)
+    return _edges_of_ranges(edges, bins, [(start, width)])
 
 
 def bin_timestamp_closed(edges: DataFrame, bins: int) -> DataFrame:
@@ -194,6 +204,11 @@ def slide_delta(binned: DataFrame, start: int, width: int, step: int = 1) -> Dat
     )
 
 
+def slide_delta_of(edges: DataFrame, bins: int, start: int, width: int, step: int = 1) -> DataFrame:
+    """``slide_delta`` of ``bin_equal_width``; only the two time ranges that leave and enter reach the scan."""
+    return slide_delta(_edges_of_ranges(edges, bins, [(start, min(step, width)), (start + width, step)]), start, width, step)
+
+
 def slide_state(binned: DataFrame, start: int, width: int, step: int = 1) -> DataFrame:
     """Pairs of both windows with flags ``before`` and ``after`` the slide.
 
@@ -253,12 +268,16 @@ def span_events(spans: DataFrame, start: int, step: int, slides: int) -> DataFra
 
 
 def effective_delta(binned: DataFrame, start: int, width: int, step: int = 1) -> DataFrame:
-    """Pairs that really leave or enter the simple graph."""
-    return (
-        slide_state(binned, start, width, step)
-        .filter(F.col("before") != F.col("after"))
-        .select("u", "v", F.when(F.col("after"), "add").otherwise("remove").alias("change"))
-    )
+    """Pairs that really leave or enter the simple graph.
+
+    The rest of the window is only asked for the pairs of the bins that leave and enter, and grouped for no other.
+    """
+    ends = as_pairs(slide_delta(binned, start, width, step), ["change"]).distinct()
+    rest = as_pairs(window_edges(binned, start + step, max(0, width - step)))
+    stays = rest.join(ends.select("u", "v").distinct(), ["u", "v"], "left_semi").select("u", "v", F.lit("stay").alias("change"))
+    flags = ends.select("u", "v", "change").union(stays).groupBy("u", "v").agg(F.min("change").alias("_a"), F.max("change").alias("_b"))
+    # a pair of both sides, or of the rest too, is no change
+    return flags.filter((F.col("_a") == F.col("_b")) & (F.col("_a") != "stay")).select("u", "v", F.col("_a").alias("change"))
 
 
 def window_sequence(
@@ -329,33 +348,32 @@ def window_step_sweep(
     )
 
 
-# Up to this many rows "first n" is a top-k, which sends n rows per task to one task.
-TOP_K_ROWS = 2_000
+# Quantiles of the first order column that are asked for, and the accuracy of their ranks (one in so many rows).
+CUTS, ACCURACY = 200, 10_000
 
 
 def read_first_n(edges: DataFrame, n: int, order: Sequence[str] = ("ts", "src", "dst")) -> DataFrame:
-    """The first ``n`` edges in a total order.
+    """The first ``n`` edges in a total order; the first order column is a number.
 
-    Small ``n`` is a top-k. Otherwise rows beyond an approximate quantile of
-    the first order column are left out (when enough remain, which is counted)
-    and the rest is cut by position, so no single task has to hold ``n`` rows.
+    The source is read twice, whatever ``n``: once for the number of edges and quantiles of the first order column, and once
+    for the edges up to the first quantile that surely has ``n`` below it. These are written and cut by
+    position, so no task has to hold ``n`` rows.
     """
-    if n <= TOP_K_ROWS:
-        return edges.orderBy(*order).limit(n)
+    if n <= 0:
+        return edges.limit(0)
     placed = with_position(_at_least_first(edges, n, order[0]), list(order), "_position")
     return placed.filter(F.col("_position") < n).drop("_position")
 
 
 def _at_least_first(edges: DataFrame, n: int, key: str) -> DataFrame:
-    """A part of ``edges`` that surely holds the first ``n`` by ``key``."""
-    total = edges.count()
-    if total <= n:
-        return edges
-    accuracy = 10_000
-    share = min(1.0, n / total + 2 / accuracy)
-    cut = edges.agg(F.percentile_approx(key, F.lit(share), F.lit(accuracy))).first()[0]
-    near = edges.filter(F.col(key) <= cut)
-    return near if near.count() >= n else edges
+    """A part of ``edges`` that surely holds the first ``n`` by ``key``, written."""
+    shares = [(i + 1) / CUTS for i in range(CUTS)]
+    quantiles = F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias("cuts")
+    seen = edges.agg(F.count(F.lit(1)).alias("n"), quantiles).first()
+    cuts = seen["cuts"] or []
+    enough = [c for c, share in zip(cuts, shares, strict=False) if (share - 2 / ACCURACY) * seen["n"] >= n]
+    near = edges.filter(F.col(key).isNull() | (F.col(key) <= enough[0])) if enough else edges
+    return materialise(near)[0]
 
 
 def batch_from_bins(binned: DataFrame, start: int, width: int, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from tidecore.functions.time import (
 )
 from tidecore.operators.bins import _SCALES, discretize
 from tidecore.operators.graph import as_pairs, in_out_degrees, raw_degrees, vertex_set
+from tidecore.plans.fixpoint import materialise
 from tidecore.plans.scalars import attach
 
 
@@ -83,12 +84,15 @@ def edges_per_timestamp(edges: DataFrame) -> DataFrame:
 
 def edges_per_hour(edges: DataFrame) -> DataFrame:
     """Edges per hour from the first to the last one, hours without edges as 0."""
-    counted = edges.groupBy(hour_start(F.col("ts")).alias("hour")).agg(
-        F.count(F.lit(1)).alias("edges")
-    )
-    spine = counted.agg(F.min("hour").alias("_a"), F.max("hour").alias("_b")).select(
-        F.explode(F.sequence("_a", "_b", F.lit(SECONDS_PER_HOUR).cast("long"))).alias("hour")
+    counted, ends = materialise(
+        edges.groupBy(hour_start(F.col("ts")).alias("hour")).agg(F.count(F.lit(1)).alias("edges")),
+        first=F.min("hour"),
+        last=F.max("hour"),
     )
+    if ends["first"] is None:
+        return counted
+    # the hours are dealt over tasks, so one timestamp far off is only more hours
+    spine = edges.sparkSession.range(ends["first"], ends["last"] + 1, SECONDS_PER_HOUR).withColumnRenamed("id", "hour")
     return spine.join(counted, "hour", "left").select(
         "hour", F.coalesce("edges", F.lit(0)).alias("edges")
     )
@@ -253,9 +257,13 @@ def temporal_locality(edges: DataFrame, sample: DataFrame | None = None) -> Data
 
 def quality_score(edges: DataFrame) -> DataFrame:
     """Points for temporal density, sparsity, nodes and edges, and a verdict (one row)."""
-    t, s = F.col("temporal_density"), F.col("sparsity")
     n, e = F.col("nodes"), F.col("edges")
-    facts = temporal_density(edges).select("temporal_density", "edges").transform(attach, sparsity(edges).select("sparsity", "nodes"))
+    # one pass: distinct times (kind 0) and nodes (kind 1) with how often they occur
+    seen = edges.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("long").alias("x")) for k, c in ((0, "ts"), (1, "src"), (1, "dst"))))).alias("_e"))
+    counted = seen.groupBy("_e.kind", "_e.x").agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    facts = counted.agg(of(0, 1).alias("times"), of(0, F.col("_n")).alias("edges"), of(1, 1).alias("nodes"))
+    t, s = F.try_divide(F.col("times"), e), _sparsity(n, e)
     score = F.col("score")
     return (
         facts.select(
@@ -281,12 +289,11 @@ def novelty_index(edges: DataFrame, scale: str = "daily") -> DataFrame:
     Snapshots without edges do not count.
     """
     seen = as_pairs(discretize(edges, scale), ["snapshot"]).distinct()
-    first = seen.groupBy("u", "v").agg(F.min("snapshot").alias("snapshot"))
-    # a pair is new exactly once, so counts per snapshot replace a join of pairs
-    total = seen.groupBy("snapshot").agg(F.count(F.lit(1)).alias("pairs"))
-    new = first.groupBy("snapshot").agg(F.count(F.lit(1)).alias("fresh"))
-    share = F.coalesce("fresh", F.lit(0)) / F.col("pairs")
-    return total.join(new, "snapshot", "left").agg(
+    # the window sees the snapshots of one pair
+    first = F.min("snapshot").over(Window.partitionBy("u", "v")) == F.col("snapshot")
+    counts = seen.withColumn("_new", first).groupBy("snapshot").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("_new").alias("fresh"))
+    share = F.col("fresh") / F.col("pairs")
+    return counts.agg(
         F.count(F.lit(1)).alias("snapshots"), F.round(F.avg(share), 9).alias("novelty")
     )
 
@@ -323,13 +330,14 @@ def reoccurrence_index(edges: DataFrame, split: float = 0.85) -> DataFrame:
 def active_snapshots(edges: DataFrame, scale: str = "daily") -> DataFrame:
     """Snapshots with at least one edge, out of those in the calendar span."""
     active = discretize(edges, scale).select("snapshot").distinct()
-    step = F.expr(f"interval 1 {_SCALES[scale]}")
     days = active.agg(
         F.min(F.col("snapshot").cast("date")).alias("_a"),
         F.max(F.col("snapshot").cast("date")).alias("_b"),
         F.count(F.lit(1)).alias("active"),
     )
-    total = F.size(F.sequence("_a", "_b", step))
+    # snapshots begin with their day, week or month
+    apart = {"day": F.datediff("_b", "_a"), "week": F.datediff("_b", "_a") / 7, "month": F.months_between("_b", "_a")}
+    total = F.round(apart[_SCALES[scale]]).cast("long") + 1
     return days.select(
         "active",
         total.cast("long").alias("snapshots"),
