@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -229,9 +230,24 @@ def test_leaf_blocks_of_broken_pages():
     text = lambda html: [b.text for b in pages.leaf_blocks(html)]
     assert text("<p>a<p>b<br>c<b>d</b>e</div>f<!-- x --> g") == ["a", "b cde", "f g"]
     assert text("<script>never closed <p>x") == [] and text("a < b &lt; c") == ["a < b < c"] and text("") == []
+    assert text("<article><p>Before</p><math>m</math><p>After</p><object data=a>shown<p>Rest</p></article>") == ["Before", "m", "After", "shown", "Rest"]
+    assert text("<iframe>kept<p>x") == ["kept", "x"] and text("<iframe>gone</iframe>x<template>t</template>") == ["x"]
+    assert text('a <b "c <p>d') == ['a <b "c', "d"] and text("<a <b <c") == ["<a <b <c"]
     assert text('<a title="x>y">t</a>') == ["t"] and text("<ul><li>1<li>2</ul>3") == ["1", "2", "3"]
 
 
+def test_time_of_broken_pages_follows_their_length():
+    for part in ("<a ", '<a "', "<!", "<iframe>", "</x><div>", "<div>x"):
+        spent = []
+        for n in (4_000, 32_000):
+            begin = time.perf_counter()
+            pages.leaf_blocks(part * n)
+            spent.append(time.perf_counter() - begin)
+        assert spent[1] < 40 * spent[0] + 0.2, part
+    deep = pages.leaf_blocks("<section><div>" * 500 + "text")
+    assert len(deep) == 1 and len(deep[0].path) == 2 * pages.PATH_ENDS
+
+
 # --- pieces ----------------------------------------------------------------
 
 
@@ -337,3 +353,30 @@ def test_long_conversations_go_on_in_parts(spark):
         assert "".join(p[column] for p in parts) == whole[column]
     texts = [p.chosen[s.start : s.end] for p in parts for s in p.chosen_mask]
     assert texts == [f"chosen{t}" for t in range(7, 20, 2)]
+
+
+def test_ids_out_of_the_vocabulary_and_empty_lists(spark, pieces):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    good = vocabulary(path).encode("a b").tolist()
+    rows = [(1, good), (2, []), (3, None), (4, [*good, 10**6]), (5, [-1, *good]), (6, [None])]
+    df = spark.createDataFrame(rows, "u long, ids array<int>")
+    got = {r.u: r.text for r in decode_pieces(df, path).collect()}
+    assert got == {1: "a b", 2: "", 3: None, 4: "a b\ufffd", 5: "\ufffd a b", 6: "\ufffd"}
+    assert decode_pieces(df.limit(0), path).collect() == []
+    with pytest.raises(ValueError):
+        encode_pieces(df.withColumnRenamed("ids", "text").selectExpr("u", "cast(u as string) text", "u ids"), path, carry=("ids",))
+    both = encode_pieces(spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "u long, text string"), path, decoded=True)
+    assert {r.u: r.decoded for r in both.collect()} == {1: "a b", 2: None, 3: ""}
+
+
+def test_pieces_of_long_words_without_spaces(pieces):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, merges = sentencepiece.SentencePieceProcessor(model_file=path), vocabulary(path)
+    rng = np.random.default_rng(4)
+    for text in ("a" * 3000, "thequickbrownfox" * 200, "".join(rng.choice(list("abeinst漢é🙂1 ")) for _ in range(4000))):
+        assert merges.encode(text).tolist() == own.encode(text)

@@ -15,6 +15,7 @@ The project has no records of web pages, so this operator is general.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
@@ -40,7 +41,7 @@ STEPS, BATCH, RATE = 400, 32, 1e-2
 TOGETHER = 64
 
 # Tags.
-RAW = frozenset("script style noscript template svg textarea iframe object math".split())
+RAW = frozenset("script style template textarea iframe title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr br".split()
@@ -58,7 +59,10 @@ OTHER_WORDS = frozenset(
     "share social sponsor sponsored subscribe toolbar widget".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Elements of a block's path that are read: the outermost and the innermost so many.
+PATH_ENDS = 12
+
+_OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -73,69 +77,140 @@ class Block:
     linked: int
 
 
+class _Markup:
+    """Where tags end, in time that follows the page: what a failed look ahead has seen is not looked at again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.special = [m.start() for m in re.finditer("[\"'>]", html)]
+        self.dead: set[int] = set()
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+        self.missing: dict[str, int] = {}
+
+    def after(self, text: str, at: int) -> int:
+        """The place behind the next ``text``, the end of the page where there is none."""
+        if at >= self.missing.get(text, len(self.html)):
+            return len(self.html)
+        found = self.html.find(text, at)
+        if found < 0:
+            self.missing[text] = at
+            return len(self.html)
+        return found + len(text)
+
+    def tag_end(self, at: int) -> int:
+        """The place behind the ``>`` that closes a tag whose attributes begin at ``at``, or -1; quoted ones are skipped."""
+        seen = []
+        while True:
+            k = bisect_left(self.special, at)
+            if k == len(self.special) or self.special[k] in self.dead:
+                break
+            here = self.special[k]
+            quote = self.html[here]
+            if quote == ">":
+                return here + 1
+            seen.append(here)
+            if here >= self.last[quote]:
+                break
+            at = self.html.find(quote, here + 1) + 1
+        self.dead.update(seen)
+        return -1
+
+
 def leaf_blocks(html: str) -> list[Block]:
-    """The texts between block-level tags, in page order; white space in a block is one space."""
+    """The texts between block-level tags, in page order; white space in a block is one space.
+
+    Time follows the length of the page, however broken or deeply nested it is. A ``<`` that opens no tag is text.
+    Scripts, styles, templates, frames and input areas are left out; one that is never closed, a script or style aside, leaves
+    out nothing. Of a path deeper than twice ``PATH_ENDS`` the ends are kept.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: dict[str, int] = {}
     held: list[str] = []
     links, linked = 0, 0
-    at, size = 0, len(html)
+    at, text_from, size = 0, 0, len(html)
+    markup, closing = _Markup(html), {}
 
     def close() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                path = tuple(w for tag, words in stack for w in (tag, *words))
+                near = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+                path = tuple(w for tag, words in near for w in (tag, *words))
                 out.append(Block(path, stack[-1][0] if stack else "", text, min(linked, len(text))))
             held.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not hidden:
+        if raw:
             text = unescape(raw) if "&" in raw else raw
             held.append(text)
             if links > 0:
                 linked += len(text.strip())
 
-    hidden = False
-    while at < size:
-        m = _TOKEN.search(html, at)
-        if not m:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    while m := _OPENING.search(html, at):
+        kind, tag = m[0], m[2]
+        if tag is None:
+            if kind == "<!--":
+                end = markup.after("-->", m.end())
+            elif kind == "<![CDATA[":
+                end = markup.after("]]>", m.end())
+            else:
+                end = markup.after(">", m.end()) if m.end() <= markup.last[">"] else -1
+        else:
+            end = markup.tag_end(m.end())
+        if end < 0:
+            at = m.start() + 1  # no markup after all
+            continue
+        add(html[text_from : m.start()])
+        at = text_from = end
+        if tag is None:
             continue
-        tag, end = m[2].lower(), m[1] == "/"
-        if tag in RAW or tag == "title":
-            if not end and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else size
+        tag, ending, attributes = tag.lower(), m[1] == "/", html[m.end() : end - 1]
+        alone = attributes.rstrip().endswith("/")
+        if tag in RAW:
+            if not ending and not alone:
+                # the next closing tag of its name; none follows once none was found
+                if closing.get(tag) is not False:
+                    stop = closing.get(tag)
+                    if stop is None or stop.start() < at:
+                        stop = closing[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) or False
+                else:
+                    stop = False
+                if stop:
+                    at = text_from = stop.end()
+                elif tag in ("script", "style"):
+                    at = text_from = size
                 held.append(" ")
             continue
         if tag in INLINE:
             if tag == "br":
                 held.append(" ")
             elif tag == "a":
-                links = max(0, links + (-1 if end else 1))
+                links = max(0, links + (-1 if ending else 1))
             continue
         close()
         links = 0
-        if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if ending:
+            if opened.get(tag):
+                while leave() != tag:
+                    pass
             continue
         gone = ENDS.get(tag, frozenset(["p"]) if tag in CLOSES_P else frozenset())
         while stack and stack[-1][0] in gone:
-            stack.pop()
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            words = tuple("." + w for a in _NAMED.findall(m[3]) for w in _WORD.findall("".join(a).lower())) if m[3] else ()
+            leave()
+        if tag not in VOID and not alone:
+            words = tuple("." + w for a in _NAMED.findall(attributes) for w in _WORD.findall("".join(a).lower())) if attributes else ()
             stack.append((tag, words))
+            opened[tag] = opened.get(tag, 0) + 1
+    add(html[text_from:])
     close()
     return out
 
