@@ -307,12 +307,14 @@ class OverlaidGraph:
         return rows, seen["visited"]
 
     @staticmethod
-    def _cored(rows: DataFrame, fresh: Changes) -> DataFrame:
-        """``(u, core, v, n_core)`` of written rows; vertices not seen before have core number 0.
+    def _values(rows: DataFrame, fresh: Changes) -> DataFrame:
+        """Core numbers of all vertices of written rows, written; the rows go to the vertex table, which stays where it is."""
+        ends = rows.select("u").union(rows.select("v").where("v is not null"))
+        return materialise(fresh.now().join(ends, "u", "left_semi"))[0]
 
-        The rows go to the vertex table, which stays where it is.
-        """
-        values = fresh.now().join(rows.select(F.coalesce("v", "u").alias("u")).union(rows.select("u")), "u", "left_semi")
+    @staticmethod
+    def _cored(rows: DataFrame, values: DataFrame) -> DataFrame:
+        """``(u, core, v, n_core)`` of written rows; vertices not seen before have core number 0."""
         own = values.withColumnRenamed("core", "_own")
         other = values.select(F.col("u").alias("v"), F.col("core").alias("_other"))
         both = rows.where("v is not null").join(own, "u", "left").join(other, "v", "left")
@@ -327,10 +329,11 @@ class OverlaidGraph:
             if not visited:
                 discard(rows)
                 return
-            near = self._cored(rows, fresh)
+            values = self._values(rows, fresh)
+            near = self._cored(rows, values)
             held = near.groupBy("u", F.least("core", "n_core").alias("core")).agg(F.count(F.lit(1)).alias("n"))
             reach = h_index(held, ["u"]).withColumnRenamed("core", "_h")
-            own = fresh.now().join(rows.where("v is null").select("u"), "u", "left_semi").withColumnRenamed("core", "old")
+            own = values.join(rows.where("v is null").select("u"), "u", "left_semi").withColumnRenamed("core", "old")
             lowered = own.join(reach, "u", "left").select("u", "old", F.coalesce("_h", F.lit(0)).cast("int").alias("core"))
             fell = lowered.where("core < old")
             # whoever counted a vertex that fell, and may count it no more
@@ -342,7 +345,7 @@ class OverlaidGraph:
             )
             fresh.add(both.where("core is not null").select("u", "core"))
             fresh.behind.append(both)
-            done = [rows]
+            done = [rows, values]
             if not seen["weak"]:
                 discard(*done)
                 return
@@ -351,7 +354,9 @@ class OverlaidGraph:
 
     def _raise(self, fresh: Changes, batch: DataFrame) -> None:
         entered = batch.where("there").select("u", "v")
-        seeds, _ = materialise(self._cored(entered, fresh).where("core <= n_core").select("u").distinct())
+        values = self._values(entered, fresh)
+        seeds, _ = materialise(self._cored(entered, values).where("core <= n_core").select("u").distinct())
+        discard(values)
         for _ in range(ROUND_LIMIT):
             near, read = self._able(fresh, seeds)
             if near is None:
@@ -387,14 +392,15 @@ class OverlaidGraph:
             if not n:
                 read.append(rows)
                 break
-            cored = self._cored(rows, fresh)
+            values = self._values(rows, fresh)
+            cored = self._cored(rows, values)
             counts = cored.groupBy("u").agg(F.count_if(higher()).alias("support"), F.count_if(F.col("n_core") >= F.col("core")).alias("_mcd"))
             known = cored.join(counts, "u").withColumn("able", F.col("_mcd") > F.col("core")).select("u", "core", "v", "n_core", "support", "able")
             visited.append(rows.where("v is null").select("u"))
             further = known.where("able and n_core = core").select(F.col("v").alias("u")).distinct().join(_union(visited), "u", "left_anti")
             blank = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in known.columns[1:]]
             both, seen = materialise(known.union(further.select("u", *blank)), able=F.count_if("able"), further=F.count_if(F.col("v").isNull()))
-            read += [rows, both]
+            read += [rows, values, both]
             near.append(both.where("v is not null"))
             ables += seen["able"]
             if not seen["further"]:
