@@ -61,6 +61,16 @@ def test_batches_equal_peeling_and_recounted_indexes(spark, monkeypatch):
     graph.close()
 
 
+def test_neighbours_that_fall_in_one_round(spark):
+    # twenty dense graphs that lose a third of their pairs: many vertices fall together, and then again
+    rng = random.Random(12)
+    base = [(1000 * k + a, 1000 * k + b) for k in range(20) for a, b in random_pairs(rng, 22, 150)]
+    out = rng.sample(base, len(base) // 3)
+    graph = OverlaidGraph(pairs_df(spark, base), place=False)
+    graph.slide(pairs_df(spark, out), pairs_df(spark, out).limit(0))
+    assert as_core(graph.core()) == peel(set(base) - set(out))
+
+
 def test_several_levels_at_once_and_nothing_at_all(spark):
     path = [(i, i + 1) for i in range(4)]
     clique = [(i, j) for i in range(5) for j in range(i + 1, 5)]

@@ -336,8 +336,10 @@ class OverlaidGraph:
             own = values.join(rows.where("v is null").select("u"), "u", "left_semi").withColumnRenamed("core", "old")
             lowered = own.join(reach, "u", "left").select("u", "old", F.coalesce("_h", F.lit(0)).cast("int").alias("core"))
             fell = lowered.where("core < old")
-            # whoever counted a vertex that fell, and may count it no more
-            counted = near.join(fell.select("u", F.col("core").alias("_new")), "u").where("n_core <= core and n_core > _new")
+            # whoever counted a vertex that fell, and may count it no more; both may have fallen in this round
+            also = fell.select(F.col("u").alias("v"), F.col("core").alias("_now"))
+            beside = near.join(fell.select("u", F.col("core").alias("_new")), "u").join(also, "v", "left").withColumn("_now", F.coalesce("_now", "n_core"))
+            counted = beside.where("_now <= core and _now > _new")
             weak = counted.select(F.col("v").alias("u")).distinct()
             both, seen = materialise(
                 fell.select("u", "old", "core").union(weak.select("u", F.lit(None).cast("int"), F.lit(None).cast("int"))),
